@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import mixing, sharding
+from taskloom.llm import mixing, pieces, sharding, sketches
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -19,6 +20,9 @@ MIXTURE = mixing.Mixture(
     keep=0.6,
 )
 
+#: The tokenizer's file among the public vocabularies; its bytes go to the executors with the task.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -44,6 +48,17 @@ def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edits(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
+        model = f.read()
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.encode(docs, model, digests=True).drop("text")
+
+
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     thin = documents(spark, sf_dir).select(
@@ -67,5 +82,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_to_targets": op1_mix_to_targets,
+    "op6_fingerprints": op6_fingerprints,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_stratified_shards": op10_stratified_shards,
 }
