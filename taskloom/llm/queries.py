@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import mixing, pieces, sharding, sketches
+from taskloom.llm import mixing, pieces, sharding, sketches, suffixes
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -52,6 +52,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffixes.dedupe_substrings(docs, size=13, digests=True)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
         model = f.read()
@@ -83,6 +88,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_to_targets": op1_mix_to_targets,
     "op6_fingerprints": op6_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_stratified_shards": op10_stratified_shards,
 }
