@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import mixing, pieces, sharding, similar, sketches, suffixes
+from taskloom.llm import bitslices, mixing, pieces, sharding, similar, sketches, suffixes
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -48,6 +48,11 @@ def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return bitslices.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.jaccard_components(documents(spark, sf_dir), size=4, percent=85)
 
@@ -91,6 +96,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_to_targets": op1_mix_to_targets,
+    "op2_top_k": op2_top_k,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
