@@ -100,6 +100,7 @@ class Words:
     first: int
     hashes: np.ndarray
     edges: np.ndarray
+    tails: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.edges) - 1
@@ -108,14 +109,22 @@ class Words:
         return self.hashes[self.edges[i] : self.edges[i + 1]]
 
 
-def _one(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of 24 bits for the last three bytes of each word."""
+    out = np.zeros(len(ends), np.uint32)
+    for k in (1, 2, 3):
+        out = out << np.uint32(8) | np.where(ends - k >= starts, raw[np.maximum(ends - k, 0)], 0)
+    return out
+
+
+def _one(raw: np.ndarray, offsets: np.ndarray, lower: bool, tails: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     raw = _LOWER[raw] if lower else raw
     starts, ends = _spans(raw, offsets)
-    return _hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    return _hashes(raw, starts, ends), np.searchsorted(starts, offsets), _tails(raw, starts, ends) if tails else None
 
 
-def _long(raw: np.ndarray, lower: bool) -> np.ndarray:
-    """Hashes of a text over CHUNK_BYTES, piece by piece."""
+def _long(raw: np.ndarray, lower: bool, tails: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes and tails of a text over CHUNK_BYTES, piece by piece."""
     out, at = [], 0
     while at < len(raw):
         end = min(at + CHUNK_BYTES, len(raw))
@@ -123,15 +132,16 @@ def _long(raw: np.ndarray, lower: bool) -> np.ndarray:
             step = raw[end : end + CHUNK_BYTES]
             found = np.flatnonzero(_SEPARATOR[step])
             end += int(found[0]) if len(found) else len(step)
-        out.append(_one(raw[at:end], np.array([0, end - at]), lower)[0])
+        out.append(_one(raw[at:end], np.array([0, end - at]), lower, tails)[::2])
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]) if tails else None
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Iterator[Words]:
+def words_of(column: pa.Array, lower: bool = True, tails: bool = False) -> Iterator[Words]:
     """The words of a column's texts, in groups of about CHUNK_BYTES of text.
 
-    ``lower`` folds A-Z only. Null texts have no words.
+    ``lower`` folds A-Z only. Null texts have no words. With ``tails``, words
+    also have a number for their last three bytes.
     """
     raw, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
@@ -140,11 +150,10 @@ def words_of(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         j = min(max(j, i + 1), n)
         piece = raw[offsets[i] : offsets[j]]
         if j == i + 1 and len(piece) > CHUNK_BYTES:
-            h = _long(piece, lower)
-            yield Words(i, h, np.array([0, len(h)]))
+            h, last = _long(piece, lower, tails)
+            yield Words(i, h, np.array([0, len(h)]), last)
         else:
-            h, edges = _one(piece, offsets[i : j + 1] - offsets[i], lower)
-            yield Words(i, h, edges)
+            yield Words(i, *_one(piece, offsets[i : j + 1] - offsets[i], lower, tails))
         i = j
 
 

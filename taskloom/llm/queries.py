@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import bitslices, mixing, pieces, sharding, similar, sketches, suffixes
+from taskloom.llm import bitslices, hmm, mixing, pieces, sharding, similar, sketches, suffixes
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -57,6 +57,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.jaccard_components(documents(spark, sf_dir), size=4, percent=85)
 
 
+def remainder(key: str, of: int) -> F.Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(documents(spark, sf_dir), remainder("doc_id", 7) == 2)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_to_targets": op1_mix_to_targets,
     "op2_top_k": op2_top_k,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_hmm_scores": op4_hmm_scores,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
