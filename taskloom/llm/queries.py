@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import bitslices, hmm, mixing, pieces, sharding, similar, sketches, suffixes
+from taskloom.llm import bitslices, hmm, mixing, pieces, quality, sharding, similar, sketches, suffixes
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -65,6 +65,14 @@ def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(documents(spark, sf_dir), remainder("doc_id", 7) == 2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.classify(docs, labels, remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k": op2_top_k,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_hmm_scores": op4_hmm_scores,
+    "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
