@@ -9,9 +9,11 @@
 3. What that may have missed is found exactly: with shingles ordered from rare
    to frequent, two sets alike enough share one among the first n - ceil(t n)
    + 1 of each. Only shingles that two different components have there matter.
-   Components that such shingles join form families; the sets of a family meet
-   once, in signature trees that skip pairs of one component. Families over a
-   task's memory are cut into chunks that meet pairwise.
+   Pairs that share one stay candidates if their parity bitmaps differ in no
+   more bits than their sets may differ in shingles. Candidates that such
+   pairs join form families; the sets of a family meet once, in signature
+   trees that skip pairs of one component. Families over a task's memory are
+   cut into chunks that meet pairwise.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BLOCK_BYTES, TASK_BYTES, TASK_PREFIXES = 8 << 20, 16 << 20, 1 << 20
 COUNT_SLOTS, FILTER_SLOTS, SEGMENTS = 1 << 21, 1 << 23, 64
 HELD = 1 << 19
 _SALT = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
-_THIN = "kind int, k long, n long, a long, b long, m1 long, m2 long, segment int, counts binary"
+_THIN = "kind int, k long, n long, a long, b long, m1 long, m2 long, parity binary, segment int, counts binary"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -55,6 +57,13 @@ def _least(s: np.ndarray) -> tuple[int, int]:
     return int(s[0].view(np.int64)), int(_words.mix(s ^ _SALT[1]).min().view(np.int64))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bitmap in which each shingle turns one bit over: two differ in no more bits than the sets in shingles."""
+    bits = 1 << min(12, max(6, int(len(s) - 1).bit_length()))
+    at = (_words.mix(s ^ _SALT[0]) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, keep: Callable[[np.ndarray], np.ndarray] | None = None):
     """(key, shingle set) of rows (k, t); rows with a null key only where nothing is filtered."""
     for batch in batches:
@@ -83,11 +92,11 @@ def _scan(rows: DataFrame, size: int) -> DataFrame:
         out: list[tuple] = []
         for key, s in _sets(batches, size):
             if len(s):
-                out.append((key, len(s), *_prints(s), *_least(s)))
+                out.append((key, len(s), *_prints(s), *_least(s), _parity(s)))
                 pending.append(s)
                 waiting += len(s)
             else:
-                out.append((key, 0, None, None, None, None))
+                out.append((key, 0, None, None, None, None, None))
             if waiting >= HELD * 4:
                 count()
                 waiting = 0
@@ -99,15 +108,15 @@ def _scan(rows: DataFrame, size: int) -> DataFrame:
         parts = held.reshape(SEGMENTS, -1)
         n = SEGMENTS
         yield pa.RecordBatch.from_arrays(
-            [pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 6, pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
+            [pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 6, pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
         )
 
-    names = ["kind", "k", "n", "a", "b", "m1", "m2", "segment", "counts"]
+    names = ["kind", "k", "n", "a", "b", "m1", "m2", "parity", "segment", "counts"]
 
     def thin(out: list[tuple]) -> pa.RecordBatch:
         n = len(out)
         columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(6)]
-        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), *columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), *columns, pa.array([r[6] for r in out], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
     return rows.mapInArrow(work, _THIN)
 
@@ -287,6 +296,48 @@ def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size:
     return rows.mapInArrow(emit, "g long, b binary").groupBy("g").applyInArrow(shared, "t long, k long")
 
 
+def _candidates(meets: DataFrame, percent: int, width: int) -> DataFrame:
+    """(u, v): pairs of two components in rows (t, k, component, n, parity) that may link."""
+
+    def folded(blobs: list[bytes], bits: np.ndarray, to: int) -> np.ndarray:
+        """Bitmaps of ``to`` or twice as many bits, at ``to`` bits."""
+        out = np.zeros((len(blobs), to // 64), np.uint64)
+        for b in (to, 2 * to):
+            at = np.flatnonzero(bits == b)
+            if len(at):
+                own = np.frombuffer(b"".join([blobs[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+                out[at] = own if b == to else own[:, : to // 64] ^ own[:, to // 64 :]
+        return out
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, k, component, n = (table.column(c).to_numpy() for c in ("t", "k", "component", "n"))
+        blobs = table.column("parity").to_pylist()
+        bits = np.array([8 * len(b) for b in blobs])
+        maps = {int(b): folded(blobs, bits, int(b)) for b in np.unique(bits)}
+        found, gap, i = [], 0, np.arange(len(t))
+        while len(i):
+            gap += 1
+            i = i[i + gap < len(t)]
+            i = i[t[i] == t[i + gap]]
+            a, b = i, i + gap
+            ok = (component[a] != component[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
+            a, b = a[ok], b[ok]
+            least = np.minimum(bits[a], bits[b])
+            for w in np.unique(least).tolist():
+                x, y = a[least == w], b[least == w]
+                for j in range(0, len(x), 1 << 16):
+                    p, q = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
+                    differ = np.bitwise_count(maps[w][p] ^ maps[w][q]).sum(axis=1, dtype=np.int64)
+                    near = (100 + percent) * differ <= (100 - percent) * (n[p] + n[q])
+                    found.append(np.stack((np.minimum(k[p], k[q])[near], np.maximum(k[p], k[q])[near]), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
+
+    tasks = 4 * width
+    return meets.groupBy(F.pmod(F.xxhash64("t"), F.lit(tasks)).alias("g")).applyInArrow(work, "u long, v long").distinct()
+
+
 def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: int, percent: int, width: int) -> DataFrame:
     """Links between components of a family, from (k, component, family)."""
     sized = members.join(reps.select("k", "n"), "k")
@@ -335,10 +386,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     work, width = Workspace(spark, "similar"), shuffle_width(spark)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     scanned = work.save(_scan(rows, size), "scan")
-    thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2")
+    thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2", "parity")
     usable = thin.where("k is not null and n > 0")
     levels = _levels(scanned)
-    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.min("m1").alias("m1"), F.min("m2").alias("m2"))
+    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
     reps = work.save(reps, "sets")
     equal = usable.join(reps.select("a", "b", "n", F.col("k").alias("u")), ["a", "b", "n"]).where("k <> u").select("u", F.col("k").alias("v"))
     links = work.save(equal, "equal")
@@ -349,12 +400,13 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     labels = components(links, work, "first")
     known = shared.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "k", F.coalesce("component", "k").alias("component"))
     known = work.save(known, "known")
-    open_ = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t", "low")
-    meets = work.save(known.join(open_, "t").select("k", "component", "low").distinct(), "meets")
-    if meets.limit(1).count():
-        families = components(meets.select(F.col("low").alias("u"), F.col("component").alias("v")), work, "families")
-        families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
-        members = work.save(meets.select("k", "component").distinct().join(families, "component"), "members")
+    open_ = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    meets = known.join(open_.select("t"), "t").join(reps.select("k", "n", "parity"), "k")
+    pairs = work.save(_candidates(meets, percent, width), "pairs")
+    if pairs.limit(1).count():
+        families = components(pairs, work, "families").withColumnsRenamed({"node": "k", "component": "family"})
+        members = families.join(labels.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("component"), "family")
+        members = work.save(members, "members")
         more = work.save(_family_links(rows, reps, members, size, percent, width), "more")
         if more.limit(1).count():
             labels = components(links.union(more), work, "second")
