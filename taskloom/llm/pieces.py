@@ -11,16 +11,19 @@ stretches without a pair leave. Rounds go on until none remains.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from taskloom.llm import _words
+
 _SPACE = "▁"
-_STRETCH = re.compile(" *[^ ]+| +")
+#: Bytes of text encoded together; a longer text is cut before a run of spaces.
+GROUP_BYTES = 3 << 20
 _BITS = 21
 _NONE = np.int64(2**62)
 
@@ -62,36 +65,32 @@ class PieceModel:
                     keys.append(a << _BITS | b)
                     ranks.append(rank[i])
                     made.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
-        self.ranks = np.append(np.array(ranks, np.int64)[order], _NONE)
-        self.made = np.append(np.array(made, np.int64)[order], np.int64(0))
+        self.ranks = np.array([*ranks, _NONE], np.int64)
+        self.made = np.array([*made, 0], np.int64)
+        self._pairs = _Pairs(np.array(keys, np.int64))
         self.longest = max(map(len, ids))
         #: Pieces that, once made, may take part in a pair of a lesser rank: such merges are done one by one.
         self.early = np.zeros(self.base, bool)
-        for key, r in zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist(), strict=True):
+        for key, r in zip(keys, ranks, strict=True):
             for s in (key >> _BITS, key & (1 << _BITS) - 1):
                 if s in rank and rank[s] >= r:
                     self.early[s] = True
-        self._strings = [str(i).encode() for i in range(n)]
-        self._decoded = [b""] * n
+        self.bytes_of = np.array(self.byte_ids, np.int32)
+        decoded = [b""] * n
         for i in plain:
-            self._decoded[i] = pieces[i].replace(_SPACE, " ").encode()
+            decoded[i] = pieces[i].replace(_SPACE, " ").encode()
         for b, i in enumerate(self.byte_ids):
-            self._decoded[i] = bytes([b])
-        self._cache: dict[str, tuple[bytes, int, bytes]] = {}
+            decoded[i] = bytes([b])
+        self._decoded = _Table(decoded)
+        self._decimals = _Table([f"{i},".encode() for i in range(n)])
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left << _BITS | right
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.made[at], 0)
-
-    def merge(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of all stretches one after the other, how many each has)."""
-        points = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = self._pairs.find(left << _BITS | right)
+        return self.ranks[at], self.made[at]
+
+    def merge(self, points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all stretches one after the other, how many each has) from their code points."""
         symbols = self.of_char[points]
-        size = np.array([len(s) for s in stretches], np.int64)
         who = np.arange(len(size))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last = np.zeros(len(symbols), bool)
@@ -143,65 +142,141 @@ class PieceModel:
         symbols[place] = flat
         return symbols, out
 
-    def _ids(self, symbols: list[int]) -> list[int]:
-        if all(s < self.size for s in symbols):
-            return symbols
-        out = []
-        for s in symbols:
-            if s < self.size:
-                out.append(s)
-            else:
-                char = self.text[s] if s < self.base else chr(s - self.base)
-                out += [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
-        return out
+    def _finished(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for symbols; characters that are no piece become their bytes."""
+        rare = np.flatnonzero(symbols >= self.size)
+        if not len(rare):
+            return symbols.astype(np.int32), sizes
+        text = "".join([self.text[s] if s < self.base else chr(s - self.base) for s in symbols[rare].tolist()])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        times = np.ones(len(symbols), np.int64)
+        times[rare] = width
+        out = np.repeat(symbols, times).astype(np.int32)
+        first = np.cumsum(times) - times
+        at = np.repeat(first[rare] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        out[at] = self.bytes_of[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        return out, np.add.reduceat(times, np.cumsum(sizes) - sizes)
+
+    def _group(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each part's begin) of the parts of a buffer, each of which begins with a space."""
+        space = raw == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[edges[:-1]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(raw))
+        _, first, which = np.unique(_words._hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        a, length = starts[first], (ends - starts)[first]
+        flat = raw[np.repeat(a - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        chars = np.add.reduceat((flat & 0xC0) != 0x80, np.cumsum(length) - length, dtype=np.int64)
+        points = np.where(points == 0x20, np.uint32(ord(_SPACE)), points)
+        ids, sizes = self._finished(*self.merge(points, chars))
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        total = np.cumsum(n)
+        out = ids[np.repeat(begin[which] - (total - n), n) + np.arange(int(n.sum()))]
+        stretch = np.searchsorted(starts, edges)
+        return out, np.concatenate(([0], total))[stretch]
 
-    def stretches(self, text: str) -> list[str]:
-        return _STRETCH.findall(" " + text.replace(_SPACE, " ")) if text else []
-
-    def learn(self, wanted: Iterable[str], limit: int = 150_000) -> None:
-        """Encodes the stretches that the bounded cache lacks."""
-        fresh = [w for w in dict.fromkeys(wanted) if w not in self._cache]
-        if len(self._cache) + len(fresh) > limit:
-            self._cache.clear()
-            fresh = list(dict.fromkeys(wanted))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            symbols, sizes = self.merge([w.replace(" ", _SPACE) for w in part])
-            flat, at = symbols.tolist(), 0
-            for w, n in zip(part, sizes.tolist(), strict=True):
-                ids = self._ids(flat[at : at + n])
-                at += n
-                joined = b"".join([self._decoded[k] for k in ids])
-                self._cache[w] = (b",".join([self._strings[k] for k in ids]), len(ids), joined)
-
-    def known(self, stretches: list[str]) -> list[tuple[bytes, int, bytes]]:
-        try:
-            return list(map(self._cache.__getitem__, stretches))
-        except KeyError:
-            self.learn(stretches)
-            return list(map(self._cache.__getitem__, stretches))
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, ids, where each text's ids begin), in order; a long text comes in several parts."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.replace_substring(texts, _SPACE, " ")
+        filled = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        raw, offsets = _words.buffers(pc.if_else(pc.equal(texts, ""), texts, filled))
+        parts: list[tuple[int, int, int]] = []
+        size = 0
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            while a < b:
+                end = b
+                if b - a > GROUP_BYTES:
+                    end = a + GROUP_BYTES
+                    while end < b and not (raw[end] == 0x20 and raw[end - 1] != 0x20):
+                        end += 1
+                parts.append((i, a, end))
+                size += end - a
+                a = end
+                if size >= GROUP_BYTES:
+                    yield self._parts(raw, parts)
+                    parts, size = [], 0
+        if parts:
+            yield self._parts(raw, parts)
+
+    def _parts(self, raw: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Empty texts lie between parts without bytes of their own, so the parts are one stretch of the buffer.
+        first = parts[0][1]
+        edges = np.array([p[1] for p in parts] + [parts[-1][2]]) - first
+        ids, begin = self._group(raw[first : parts[-1][2]], edges)
+        return np.array([p[0] for p in parts]), ids, begin
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.known(self.stretches(text)) for i in p[0].split(b",")]
+        return [int(i) for _, ids, _ in self.encode_column(pa.array([text], pa.large_string())) for i in ids]
+
+    def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes that ids stand for, where each id's begin), with the space put in front of a text."""
+        return self._decoded.join(ids)
+
+    def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in decimals, each with a comma after it, where each id's begin)."""
+        return self._decimals.join(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the one space put in front is taken off, control ids stand for nothing."""
-        raw = b"".join([self._decoded[i] for i in ids])
+        raw = self.decode_bytes(np.fromiter(ids, np.int64))[0].tobytes()
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _encoded(model: PieceModel, texts: list[str | None]) -> Iterator[list[tuple[bytes, int, bytes]]]:
-    """Parts of each text; the stretches of several texts are encoded together."""
-    at = 0
-    while at < len(texts):
-        group, size = [], 0
-        while at + len(group) < len(texts) and (not group or size < 1 << 20):
-            group.append(model.stretches(texts[at + len(group)] or ""))
-            size += len(texts[at + len(group) - 1] or "")
-        model.learn(s for g in group for s in g) if any(s not in model._cache for g in group for s in g) else None
-        for g in group:
-            yield model.known(g)
-        at += len(group)
+class _Pairs:
+    """Places of keys by two hash tables: the second has the few keys whose slot in the first is taken."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.shift = np.uint64(64 - bits)
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        self.none = len(keys)
+        left, rng = np.arange(len(keys)), np.random.Generator(np.random.PCG64(5))
+        while len(left) or not self.tables:
+            by = rng.integers(0, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            slot = self._slot(keys[left], by)
+            _, first = np.unique(slot, return_index=True)
+            if self.tables and len(first) < len(left):
+                continue
+            held, place = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.none, np.int32)
+            held[slot[first]], place[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((by, held, place))
+            left = np.delete(left, first)
+
+    def _slot(self, keys: np.ndarray, by: np.uint64) -> np.ndarray:
+        return (keys.astype(np.uint64) * by >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.none, np.int32)
+        for by, held, place in self.tables:
+            slot = self._slot(keys, by)
+            hit = held[slot] == keys
+            out[hit] = place[slot[hit]]
+        return out
+
+
+class _Table:
+    """Byte strings by number, joined by gathering from one buffer."""
+
+    def __init__(self, strings: list[bytes]):
+        self.raw = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(s) for s in strings], np.int32)
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        edges = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(size, out=edges[1:])
+        shift = self.begin[numbers] - edges[:-1].astype(np.int32)
+        at = np.repeat(shift, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.raw[at], edges
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str | None = None, digests: bool = False) -> DataFrame:
@@ -224,18 +299,32 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", de
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = PieceModel(model)
         for batch in batches:
-            made: list[list] = [[] for _ in names]
-            for parts in _encoded(tables, batch.column(text).to_pylist()):
-                joined = b"".join([p[2] for p in parts])[1:]
-                if digests:
-                    id_text = b",".join([p[0] for p in parts])
-                    row = (sum([p[1] for p in parts]), hashlib.sha256(id_text).hexdigest(), hashlib.sha256(joined).hexdigest())
-                else:
-                    row = ([int(i) for p in parts for i in p[0].split(b",")], joined.decode())
-                for column, value in zip(made, row, strict=False):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-            new = [pa.array(c, k) for c, k in zip(made, kinds, strict=False)]
+            rows = batch.num_rows
+            counts = np.zeros(rows, np.int64)
+            shas = [(hashlib.sha256(), hashlib.sha256()) for _ in range(rows)] if digests else []
+            flat: list[np.ndarray] = []
+            texts: list[list[bytes]] = [[] for _ in range(rows)]
+            for of, found, begin in tables.encode_column(batch.column(text)):
+                decimals, d_at = tables.decimals(found) if digests else (None, None)
+                plain, p_at = tables.decode_bytes(found) if digests or decoded else (None, None)
+                for i, a, b in zip(of.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    fresh = counts[i] == 0
+                    counts[i] += b - a
+                    if digests:
+                        shas[i][0].update(b"" if fresh else b",")
+                        shas[i][0].update(decimals[d_at[a] : d_at[b] - 1])
+                        shas[i][1].update(plain[p_at[a] + fresh : p_at[b]])
+                    elif decoded:
+                        texts[i].append(plain[p_at[a] + fresh : p_at[b]].tobytes())
+                if not digests:
+                    flat.append(found)
+            if digests:
+                new = [pa.array(counts), *[pa.array([h[j].hexdigest() for h in shas], pa.string()) for j in (0, 1)]]
+            else:
+                edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))]
+                if decoded:
+                    new.append(pa.array([b"".join(t).decode() for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *names])
 
     return source.mapInArrow(work, schema)
