@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import bitslices, hmm, mixing, pieces, quality, sharding, similar, sketches, suffixes
+from taskloom.llm import bitslices, hmm, licences, mixing, pieces, quality, sharding, similar, sketches, suffixes
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
@@ -82,6 +82,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedupe_substrings(docs, size=13, digests=True)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
         model = f.read()
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_stratified_shards": op10_stratified_shards,
 }
