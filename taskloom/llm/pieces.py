@@ -23,7 +23,9 @@ from taskloom.llm import _words
 
 _SPACE = "▁"
 #: Bytes of text encoded together; a longer text is cut before a run of spaces.
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 1 << 20
+#: Rows that are given back at once.
+_ROWS = 512
 _BITS = 21
 _NONE = np.int64(2**62)
 
@@ -298,7 +300,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", de
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = PieceModel(model)
-        for batch in batches:
+        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             rows = batch.num_rows
             counts = np.zeros(rows, np.int64)
             shas = [(hashlib.sha256(), hashlib.sha256()) for _ in range(rows)] if digests else []
