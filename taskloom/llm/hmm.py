@@ -257,10 +257,10 @@ def train(sequences: DataFrame, mass: np.ndarray, settings: Settings) -> tuple[M
         summed = sequences.mapInArrow(work, schema).groupBy("k").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
         number = summed.column("k").to_numpy()
         values = np.column_stack([summed.column(f"s{j}").to_numpy() for j in range(k)])
-        if not len(number):
-            return model, path
         by_class = np.zeros((END + 1, k))
         by_class[number[number >= 0]] = values[number >= 0]
+        if not by_class.any():
+            return model, path
         special = {int(n): v for n, v in zip(number[number < 0], values[number < 0], strict=True)}
         moves = np.array([special[j - k] for j in range(k)]) + 1.0
         starts = special[-k - 1] + 1.0
@@ -333,31 +333,36 @@ def _score(rows: DataFrame, model: Model, mass: np.ndarray, frequent: Frequent,
 
 
 def _rare(scored: DataFrame, counts: DataFrame, tasks: int) -> DataFrame:
-    """(r, known, logs): what words that aren't frequent add to each row."""
+    """(r, more_known, more_logs): what words that aren't frequent add to each row."""
 
     def meet(parts: pa.Table, table: pa.Table) -> pa.Table:
         blobs = [_blobs.unpack(b) for b in parts.column("b").to_pylist()]
-        empty = {"r": pa.array([], pa.int64()), "known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64())}
-        if not blobs:
-            return pa.table(empty)
-        word = np.concatenate([b[0] for b in blobs])
-        row = np.concatenate([np.repeat(b[1], b[2].astype(np.int64)) for b in blobs])
-        h = table.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], table.column("c").to_numpy()[order]
-        at = np.minimum(np.searchsorted(h, word), max(len(h) - 1, 0))
-        hit = h[at] == word if len(h) else np.zeros(len(word), bool)
-        row, of = row[hit], at[hit]
-        ids, which = np.unique(row, return_inverse=True)
-        if not len(ids):
-            return pa.table(empty)
-        return pa.table({"r": pa.array(ids), "known": pa.array(np.bincount(which).astype(np.int64)), "logs": pa.array(np.bincount(which, np.log10(c[of] + 1.0)))})
+        made: list[tuple[int, bytes]] = []
+        if blobs:
+            word = np.concatenate([b[0] for b in blobs])
+            row = np.concatenate([np.repeat(b[1], b[2].astype(np.int64)) for b in blobs])
+            h = table.column("h").to_numpy().view(np.uint64)
+            order = np.argsort(h)
+            h, c = h[order], table.column("c").to_numpy()[order]
+            at = np.minimum(np.searchsorted(h, word), max(len(h) - 1, 0))
+            hit = h[at] == word if len(h) else np.zeros(len(word), bool)
+            ids, which = np.unique(row[hit], return_inverse=True)
+            known, logs = np.bincount(which, minlength=len(ids)), np.bincount(which, np.log10(c[at[hit]] + 1.0), len(ids))
+            order, ends = _blobs.by_bucket(ids % tasks)
+            made = [(g, _blobs.pack(ids[order[a:b]], _blobs.small(known[order[a:b]]), logs[order[a:b]])) for g, a, b in ends]
+        return pa.table({"g": pa.array([m[0] for m in made], pa.int64()), "b": pa.array([m[1] for m in made], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [_blobs.unpack(b) for b in table.column("b").to_pylist()]
+        ids, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        known = np.bincount(which, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        return pa.table({"r": pa.array(ids), "more_known": pa.array(known), "more_logs": pa.array(np.bincount(which, np.concatenate([p[2] for p in parts])))})
 
     # Words as unsigned numbers: 2^64 mod tasks is taken off for those that are negative as signed ones.
     bucket = F.expr(f"pmod(pmod(h, {tasks}L) + IF(h < 0, {2**64 % tasks}L, 0L), {tasks}L)")
     left = scored.where("kind = 1").select("g", "b").groupBy("g")
-    found = left.cogroup(counts.select(bucket.alias("g"), "h", "c").groupBy("g")).applyInArrow(meet, "r long, known long, logs double")
-    return found.groupBy("r").agg(F.sum("known").alias("more_known"), F.sum("logs").alias("more_logs"))
+    found = left.cogroup(counts.select(bucket.alias("g"), "h", "c").groupBy("g")).applyInArrow(meet, "g long, b binary")
+    return found.groupBy("g").applyInArrow(add, "r long, more_known long, more_logs double")
 
 
 def score_texts(df: DataFrame, held_out: Column, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
