@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket holds on average; more rows give more buckets.
+from taskloom.llm._store import shuffle_width
+
+#: Rows that one bucket holds on average; more rows give more buckets, and there are at least twice as many as shuffle partitions.
 BUCKET_ROWS = 20_000
 _DIGITS = 7
 
@@ -61,7 +63,7 @@ def shard(
     out_shard, out_slot = columns
     df = df.drop(*[c for c in columns if c not in (key, stratum)])
     total = df.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(2 * shuffle_width(df.sparkSession), -(-total // BUCKET_ROWS))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     rest = F.xxhash64(*[F.col(c) for c in df.columns if not df.schema[c].dataType.typeName().startswith(("map", "variant"))])
     rows = df.select(
