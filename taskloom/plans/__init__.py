@@ -2,11 +2,11 @@
 
 from taskloom.plans.backends import Backends
 from taskloom.plans.cache import MISS, CacheStore, frame_key, value_key
-from taskloom.plans.hooks import HOOKS, EventLog, EventRegistry, Hooks, LifecycleLog
+from taskloom.plans.hooks import HOOKS, CentralLog, EventLog, EventRegistry, Hooks, LifecycleLog
 from taskloom.plans.session import async_session, session
 from taskloom.plans.workflow import Workflow, load_workflow, workflow
 
 __all__ = [
-    "HOOKS", "MISS", "Backends", "CacheStore", "EventLog", "EventRegistry", "Hooks", "LifecycleLog", "Workflow",
+    "HOOKS", "MISS", "Backends", "CacheStore", "CentralLog", "EventLog", "EventRegistry", "Hooks", "LifecycleLog", "Workflow",
     "async_session", "frame_key", "load_workflow", "session", "value_key", "workflow",
 ]

@@ -16,8 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 from taskloom.errors import BackendError
-from taskloom.plans.hooks import Hooks
-from taskloom.scope import SessionState, at_index, current_session, current_task, in_session, in_task, settings
+from taskloom.plans.hooks import forwarded_logs, portable, rebuilt
+from taskloom.scope import SessionState, at_index, current_session, current_task, hooks, in_session, in_task, settings
 
 #: A strategy takes a function and the argument tuples, and gives (error, result) for each, in order.
 Strategy = Callable[[Callable, list[tuple]], list[tuple[BaseException | None, Any]]]
@@ -43,37 +43,41 @@ def threads(func: Callable, calls: list[tuple]) -> list[tuple[BaseException | No
 
 
 def distributed(func: Callable, calls: list[tuple]) -> list[tuple[BaseException | None, Any]]:
-    """One Spark job over all elements; results and errors come back with their index."""
+    """One Spark job over all elements; results, errors and events come back with their index."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     rows = [(i, bytearray(cloudpickle.dumps(args))) for i, args in enumerate(calls)]
     width = max(1, min(len(rows), spark.sparkContext.defaultParallelism))
 
-    state, inside = current_session(), current_task()
-    stores = (state.settings, state.backend, state.cache_store, state.dataset_store) if state else None
+    state, inside, own = current_session(), current_task(), hooks()
+    given = state.settings if state else settings()
+    stores = (state.backend, state.cache_store, state.dataset_store) if state else ()
+    plugins = portable(own.plugins)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = rebuilt(plugins)
         with contextlib.ExitStack() as stack:
-            if stores:
-                stack.enter_context(in_session(SessionState("worker", stores[0], Hooks(), Backends(), *stores[1:])))
+            stack.enter_context(in_session(SessionState("worker", given, there, Backends(), *stores)))
+            stack.enter_context(forwarded_logs())
             if inside:
                 stack.enter_context(in_task(dataclasses.replace(inside, inputs={})))
-            yield from run(batches)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, args in zip(batch.column("map_index").to_pylist(), batch.column("args").to_pylist(), strict=True):
-                error, result = _call(func, i, pickle.loads(args))
-                try:
-                    blob = cloudpickle.dumps((error, result))
-                except Exception as e:
-                    blob = cloudpickle.dumps((TypeError(f"the result can't be sent back: {e}"), None))
-                out.append(blob)
-            yield pa.RecordBatch.from_arrays([batch.column("map_index"), pa.array(out, pa.binary())], names=["map_index", "blob"])
+            for batch in batches:
+                out = []
+                for i, args in zip(batch.column("map_index").to_pylist(), batch.column("args").to_pylist(), strict=True):
+                    error, result = _call(func, i, pickle.loads(args))
+                    try:
+                        blob = cloudpickle.dumps((error, result, there.events.taken()))
+                    except Exception as e:
+                        blob = cloudpickle.dumps((TypeError(f"the result can't be sent back: {e}"), None, []))
+                    out.append(blob)
+                yield pa.RecordBatch.from_arrays([batch.column("map_index"), pa.array(out, pa.binary())], names=["map_index", "blob"])
 
     frame = spark.createDataFrame(rows, "map_index long, args binary").repartitionByRange(width, "map_index")
     found = frame.mapInArrow(work, "map_index long, blob binary").collect()
-    return [pickle.loads(r["blob"]) for r in sorted(found, key=lambda r: r["map_index"])]
+    results = [pickle.loads(r["blob"]) for r in sorted(found, key=lambda r: r["map_index"])]
+    for _, _, events in results:
+        for kind, data in events:
+            own.events.dispatch(kind, data)
+    return [(error, value) for error, value, _ in results]
 
 
 # Names that stand for the strategies.

@@ -198,13 +198,75 @@ def get_logger(name: str = "taskloom") -> logging.LoggerAdapter:
     return _TaskLogger(logging.getLogger(name), {})
 
 
+class Outbox(EventRegistry):
+    """On an executor: keeps events, which go back to the driver with the results."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[tuple[Hashable, dict]] = []
+
+    def dispatch(self, kind: Hashable, data: dict) -> None:
+        self.kept.append((kind, data))
+
+    def taken(self) -> list[tuple[Hashable, dict]]:
+        kept, self.kept = self.kept, []
+        return kept
+
+
 def emit(kind: Hashable, **data: Any) -> None:
-    """Sends an event to the handlers of the current session's plugins."""
+    """Sends an event to the handlers of the current session's plugins; from an executor, with the results."""
     from taskloom.scope import hooks
 
     hooks().events.dispatch(kind, data)
 
 
+def portable(plugins: list[Any]) -> list[tuple[type, dict]]:
+    """Plugins that executors can have: those with ``to_config`` and ``from_config``."""
+    return [(type(p), p.to_config()) for p in plugins if hasattr(p, "to_config") and hasattr(p, "from_config")]
+
+
+def rebuilt(configs: list[tuple[type, dict]]) -> Hooks:
+    """Hooks of an executor, whose events go to an outbox."""
+    found = Hooks()
+    found.events = Outbox()
+    found.plugins = [kind.from_config(config) for kind, config in configs]
+    return found
+
+
+class _Forward(logging.Handler):
+    """On an executor: sends log records as events."""
+
+    def emit(self, record: logging.LogRecord) -> None:
+        emit("log", name=record.name, level=record.levelno, message=record.getMessage())
+
+
+@contextlib.contextmanager
+def forwarded_logs():
+    """Records of the engine's loggers go to the driver while this is open."""
+    handler, before = _Forward(), log.level
+    log.addHandler(handler)
+    log.setLevel(logging.DEBUG)
+    try:
+        yield
+    finally:
+        log.removeHandler(handler)
+        log.setLevel(before)
+
+
+@dataclasses.dataclass
+class CentralLog:
+    """A plugin that logs on the driver what tasks on executors have logged, from a level on."""
+
+    level: int = logging.INFO
+
+    def register_event_handlers(self, registry: EventRegistry) -> None:
+        registry.register("log", self._write)
+
+    def _write(self, data: dict) -> None:
+        if data["level"] >= self.level:
+            logging.getLogger(data["name"]).log(data["level"], "%s", data["message"])
+
+
 @contextlib.contextmanager
 def quiet():
     """Errors inside are logged and go no further."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
+import importlib.metadata
+import logging
 import pickle
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -66,6 +68,21 @@ for _name, _options in (("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"he
     register(FrameFormat(_name, (_name,), _options, _options))
 
 
+def load_plugins(group: str = "taskloom.datasets") -> list[str]:
+    """Registers the formats that installed packages offer: entry points of a format or a function that gives some."""
+    loaded = []
+    for point in importlib.metadata.entry_points(group=group):
+        try:
+            found = point.load()
+            found = found() if callable(found) else found
+            for fmt in found if isinstance(found, (list, tuple)) else [found]:
+                register(fmt)
+            loaded.append(point.name)
+        except Exception:
+            logging.getLogger("taskloom").exception("dataset plugin %s can't be loaded", point.name)
+    return loaded
+
+
 def formats_for(kind: type) -> list[str]:
     """Names of the formats of a type, its bases' included."""
     return sorted({f.name for f in _values.values() if issubclass(kind, f.kind)})

@@ -5,7 +5,7 @@ import pytest
 from taskloom import async_session, load_workflow, map_tasks, session, task, workflow
 from taskloom.cli import main
 from taskloom.errors import BackendError
-from taskloom.plans.hooks import EventLog, EventRegistry, get_logger, has_plugin, register_plugins, reset_plugins
+from taskloom.plans.hooks import CentralLog, EventLog, EventRegistry, get_logger, emit, has_plugin, register_plugins, reset_plugins
 from taskloom.scope import current_session
 from taskloom.settings import Settings, get_global_settings, set_global_settings
 
@@ -135,3 +135,67 @@ def test_cli(capsys):
             main(["run", f"{FLOWS}:math_flow", *tail])
     assert main(["run", f"{FLOWS}:math_flow", "--x", "1", "--y", "1", "--conf", "backend=threads"]) == 0
     assert main(["run", f"{FLOWS}:math_flow", "--x", "1", "--y", "1", "--conf", "nope=1"]) == 1
+
+
+class Shout:
+    """A plugin that executors can have: it sends an event for each task it sees."""
+
+    def __init__(self, word):
+        self.word, self.seen = word, []
+
+    def to_config(self):
+        return {"word": self.word}
+
+    @classmethod
+    def from_config(cls, config):
+        return cls(config["word"])
+
+    def before_node_execute(self, metadata):
+        emit("shout", text=f"{self.word} {metadata.name}")
+
+    def register_event_handlers(self, registry):
+        registry.register("shout", lambda data: self.seen.append(data["text"]))
+
+
+@pytest.mark.parametrize("backend", ["inline", "threads", "distributed"])
+def test_events_and_logs_come_back_from_executors(spark, caplog, backend):
+    @task
+    def work(x):
+        get_logger().warning("at %s", x)
+        return x
+
+    plugin = Shout("hey")
+    with session(plugins=[plugin, CentralLog()]), caplog.at_level("WARNING"):
+        assert map_tasks(work, [4, 5], backend=backend) == [4, 5]
+    assert sorted(plugin.seen) == ["hey work[0]", "hey work[1]"]
+    assert "[work[0]] at 4" in caplog.text and "[work[1]] at 5" in caplog.text
+
+
+def test_dataset_plugins(monkeypatch, tmp_path):
+    import importlib.metadata
+
+    from taskloom.sources import DatasetStore, ValueFormat
+    from taskloom.sources.datasets import extension_of, formats_for, infer_format, load_plugins
+
+    class Good:
+        name = "good"
+
+        @staticmethod
+        def load():
+            return lambda: ValueFormat(complex, "pair", ("cpx",), lambda v: f"{v.real} {v.imag}".encode(), lambda b: complex(*map(float, b.split())))
+
+    class Bad:
+        name = "bad"
+
+        @staticmethod
+        def load():
+            raise ImportError("gone")
+
+    monkeypatch.setattr(importlib.metadata, "entry_points", lambda group: [Bad, Good])
+    assert load_plugins() == ["good"]
+    assert "pair" in formats_for(complex) and infer_format(complex, "cpx") == "pair" and extension_of(complex, "pair") == "cpx"
+    store = DatasetStore(str(tmp_path))
+    store.save("z.cpx", 1 + 2j)
+    assert store.load("z.cpx", complex) == 1 + 2j
+    with pytest.raises(ValueError, match="available"):
+        store.load("z.cpx", complex, "nope")
