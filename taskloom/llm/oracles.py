@@ -53,6 +53,42 @@ WHERE CAST(('0x' || md5('{m.seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')
 """
 
 
+
+
+def _leads(count: int) -> str:
+    """The words from here on, joined by spaces; null where there are fewer."""
+    return " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER w" for j in range(1, count)]])
+
+
+_SPLIT = rf"""
+t AS (SELECT doc_id, {{text}} AS text FROM documents),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM t),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d)"""
+
+#: Links by shared shingles of every pair, then all that each document reaches.
+_OP3 = f"""
+WITH RECURSIVE {_SPLIT.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+s AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, {_leads(4)} AS s FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3) WHERE s IS NOT NULL),
+n AS (SELECT doc_id, count(s.s) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
+"""
+
+_OP7 = f"""
+WITH {_SPLIT.format(text="text")},
+g AS (SELECT doc_id, k, {_leads(13)} AS s FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS least FROM g WHERE s IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM m WHERE least < doc_id),
+o AS (SELECT doc_id, count(*) AS n_words, count(c.k) AS n_removed, string_agg(word, ' ' ORDER BY x.k) FILTER (WHERE c.k IS NULL) AS kept
+  FROM x LEFT JOIN c USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
+
 _OP10 = r"""
 WITH bits AS (SELECT list(c ORDER BY n) AS t FROM (
   SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM range(256) AS x(n))),
@@ -78,5 +114,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 ORACLES: dict[str, str] = {
     "op1_mix_to_targets": _op1(),
     "op2_top_k": _OP2,
+    "op3_jaccard_join": _OP3,
+    "op7_substring_dedup": _OP7,
     "op10_stratified_shards": _OP10,
 }
