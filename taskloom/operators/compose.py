@@ -60,9 +60,14 @@ def map_tasks(task: Any, *iterables: Iterable[Any], backend: str | None = None)
     return [value for _, value in found]
 
 
-async def gather_tasks(task: Any, *iterables: Iterable[Any]) -> list[Any]:
-    """An async task on all tuples at once, in order."""
+async def gather_tasks(task: Any, *iterables: Iterable[Any], backend: str | None = None) -> list[Any]:
+    """An async task on all tuples at once, in order, in the caller's event loop.
+
+    A strategy may be named, as for ``map_tasks``, and has to exist; the loop is what runs the task.
+    """
     task = _as_task(task)
+    if backend is not None:
+        active_backends().get(backend)
     if not task.is_async:
         raise TypeError(f"{task.base_name} isn't async")
 

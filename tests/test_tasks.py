@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom import Task, gather_tasks, map_tasks, session, task
-from taskloom.errors import TaskError, TaskTimeout
+from taskloom.errors import BackendError, TaskError, TaskTimeout
 
 
 class Recorder:
@@ -135,6 +135,9 @@ def test_async_task_and_gather():
 
     assert asyncio.run(double(4)) == 8
     assert asyncio.run(gather_tasks(double, [1, 2, 3])) == [2, 4, 6]
+    assert asyncio.run(gather_tasks(double, [1, 2], backend="threads")) == [2, 4]
+    with pytest.raises(BackendError):
+        asyncio.run(gather_tasks(double, [1], backend="nope"))
     with pytest.raises(TypeError):
         asyncio.run(gather_tasks(lambda x: x, [1]))
 
