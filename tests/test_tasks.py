@@ -95,11 +95,16 @@ def test_timeout_is_enforced(spark):
         slow()
     assert time.time() - began < 3
 
-    @task(timeout=1.0)
+    @task(timeout=2.0)
     def slow_job():
-        return spark.range(4).select(F.udf(lambda x: time.sleep(30) or x, "long")("id")).count
+        return spark.range(4).select(F.udf(lambda x: time.sleep(120) or x, "long")("id")).collect()
 
-    assert callable(slow_job())
+    began = time.time()
+    with pytest.raises(TaskTimeout):
+        slow_job()
+    while spark.sparkContext.statusTracker().getActiveJobsIds():
+        assert time.time() - began < 30
+        time.sleep(0.1)
 
 
 def test_streams_fire_items_and_end():
