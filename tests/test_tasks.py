@@ -97,7 +97,7 @@ def test_timeout_is_enforced(spark):
 
     @task(timeout=2.0)
     def slow_job():
-        return spark.range(4).select(F.udf(lambda x: time.sleep(120) or x, "long")("id")).collect()
+        return spark.range(4).select(F.udf(lambda x: time.sleep(15) or x, "long")("id")).collect()
 
     began = time.time()
     with pytest.raises(TaskTimeout):
