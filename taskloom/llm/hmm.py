@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import _blobs, _words
+from taskloom.llm._memory import lean, lean_cogroup, lean_group
 from taskloom.llm._store import Workspace, shuffle_width
 
 #: Classes of frequent words at most, then those of other words, then that of the end of a text.
@@ -193,7 +194,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([int(_END_HASH)]), pa.array([RARE]), pa.array([ends])], names=["h", "kind", "c"])
 
-    counted = rows.where("not held").select("t").mapInArrow(work, "h long, kind long, c long")
+    counted = rows.where("not held").select("t").mapInArrow(lean(work), "h long, kind long, c long")
     return counted.groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
 
 
@@ -210,7 +211,7 @@ def _sequences(rows: DataFrame, frequent: Frequent) -> DataFrame:
                     out += [s[i : i + PIECE].tobytes() for i in range(0, len(s), PIECE)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["s"])
 
-    return rows.where("not held").select("t").mapInArrow(work, "s binary")
+    return rows.where("not held").select("t").mapInArrow(lean(work), "s binary")
 
 
 def _class_mass(counts: DataFrame, frequent: Frequent) -> np.ndarray:
@@ -254,7 +255,7 @@ def train(sequences: DataFrame, mass: np.ndarray, settings: Settings) -> tuple[M
             values = np.concatenate((by_class[live], moves, starts[None], np.full((1, k), loglik)))
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(values[:, j]) for j in range(k)]], names=["k", *[f"s{j}" for j in range(k)]])
 
-        summed = sequences.mapInArrow(work, schema).groupBy("k").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
+        summed = sequences.mapInArrow(lean(work), schema).groupBy("k").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
         number = summed.column("k").to_numpy()
         values = np.column_stack([summed.column(f"s{j}").to_numpy() for j in range(k)])
         by_class = np.zeros((END + 1, k))
@@ -329,7 +330,7 @@ def _score(rows: DataFrame, model: Model, mass: np.ndarray, frequent: Frequent,
                     held, size = [], 0
         yield from flush()
 
-    return rows.mapInArrow(work, "kind int, r long, k long, held boolean, n long, known long, logs double, score double, g long, b binary")
+    return rows.mapInArrow(lean(work), "kind int, r long, k long, held boolean, n long, known long, logs double, score double, g long, b binary")
 
 
 def _rare(scored: DataFrame, counts: DataFrame, tasks: int) -> DataFrame:
@@ -361,8 +362,8 @@ def _rare(scored: DataFrame, counts: DataFrame, tasks: int) -> DataFrame:
     # Words as unsigned numbers: 2^64 mod tasks is taken off for those that are negative as signed ones.
     bucket = F.expr(f"pmod(pmod(h, {tasks}L) + IF(h < 0, {2**64 % tasks}L, 0L), {tasks}L)")
     left = scored.where("kind = 1").select("g", "b").groupBy("g")
-    found = left.cogroup(counts.select(bucket.alias("g"), "h", "c").groupBy("g")).applyInArrow(meet, "g long, b binary")
-    return found.groupBy("g").applyInArrow(add, "r long, more_known long, more_logs double")
+    found = left.cogroup(counts.select(bucket.alias("g"), "h", "c").groupBy("g")).applyInArrow(lean_cogroup(meet), "g long, b binary")
+    return found.groupBy("g").applyInArrow(lean_group(add), "r long, more_known long, more_logs double")
 
 
 def score_texts(df: DataFrame, held_out: Column, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from taskloom.llm import _words
+from taskloom.llm._memory import lean
 from taskloom.llm.quality import _sigmoid
 
 # Sentences of licence notices by family.
@@ -243,4 +244,4 @@ def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) ->
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], names=[*kept, *names])
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(lean(work), schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from taskloom.llm import _words
+from taskloom.llm._memory import lean
 
 _SPACE = "▁"
 #: Bytes of text encoded together; a longer text is cut before a run of spaces.
@@ -329,4 +330,4 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", de
                     new.append(pa.array([b"".join(t).decode() for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *names])
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(lean(work), schema)

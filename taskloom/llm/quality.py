@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _words
+from taskloom.llm._memory import lean
 
 _BITS = 18
 SIZE = 1 << _BITS
@@ -174,7 +175,7 @@ def train(df: DataFrame, labelled: DataFrame, label: str, settings: Settings, ke
 
     # The sample's bound makes it fit for a broadcast, whatever the tables' sizes.
     rows = df.select(key, text).join(F.broadcast(sample), key).select(F.xxhash64(key).alias("h"), F.col("__y").alias("y"), F.col(text).alias("t"))
-    found = rows.mapInArrow(work, "h long, y int, f binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    found = rows.mapInArrow(lean(work), "h long, y int, f binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     found = found.slice(0, settings.rows)
     return fit([np.frombuffer(f, np.int32) for f in found.column("f").to_pylist()], found.column("y").to_numpy().astype(np.int64), settings)
 
@@ -194,7 +195,7 @@ def score(df: DataFrame, model: Model, out: str = "score", text: str = "text") -
             margins = np.array([model.margin(f) for f in features(b.column(text))])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(model.score(margins), pa.float64())], names=[*kept, out])
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(lean(work), schema)
 
 
 def classify(df: DataFrame, labelled: DataFrame, learn: Column, label: str = "quality", settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from taskloom.llm import _words
+from taskloom.llm._memory import lean
 from taskloom.llm._store import shuffle_width
 
 K, SHINGLE = 128, 5
@@ -100,7 +101,7 @@ def sketch(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int =
             made = pa.array([to_text(s) for s in of_column(b.column(text), k, size)], pa.string())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], made], names=[*kept, out])
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(lean(work), schema)
 
 
 def merge_groups(df: DataFrame, keys: list[str], fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
@@ -137,7 +138,7 @@ def merge_groups(df: DataFrame, keys: list[str], fingerprint: str = "fingerprint
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(combined(batches), True)
 
-    return df.select(*keys, fingerprint).mapInArrow(partial, schema).repartition(*keys).mapInArrow(total, final)
+    return df.select(*keys, fingerprint).mapInArrow(lean(partial), schema).repartition(*keys).mapInArrow(lean(total), final)
 
 
 def with_next(df: DataFrame, key: str, text: str, work, schema: T.StructType) -> DataFrame:
@@ -198,7 +199,7 @@ def with_next(df: DataFrame, key: str, text: str, work, schema: T.StructType) ->
                 if keys:
                     yield work(keys, texts, nexts)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def edited(text: str, following: str) -> str:

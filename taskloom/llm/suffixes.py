@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _blobs, _words
+from taskloom.llm._memory import lean, lean_cogroup, lean_group
 from taskloom.llm._store import Workspace, shuffle_width
 
 #: Suffixes that a task of the tree stage holds on average, and bytes of text of one in the last stage.
-GROUP_SUFFIXES, GROUP_BYTES = 1 << 20, 8 << 20
+GROUP_SUFFIXES, GROUP_BYTES = 1 << 18, 8 << 20
 #: Suffixes that the first stage holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 _SLOTS = 1 << 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOW = np.uint64((1 << 56) - 1)
@@ -75,7 +76,7 @@ def _prefix_counts(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
         level, slot = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(slot), pa.array(held[level, slot])], names=["level", "slot", "n"])
 
-    counted = df.select(key, text).mapInArrow(count, "level long, slot long, n long")
+    counted = df.select(key, text).mapInArrow(lean(count), "level long, slot long, n long")
     return counted.groupBy("level", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -163,7 +164,7 @@ def _suffixes(df: DataFrame, key: str, text: str, plan: _Plan) -> DataFrame:
                     held, size = [], 0
         yield flush()
 
-    return df.select(key, text).mapInArrow(emit, "g long, b binary")
+    return df.select(key, text).mapInArrow(lean(emit), "g long, b binary")
 
 
 def _repeats(parts: DataFrame, buckets: int) -> DataFrame:
@@ -190,7 +191,7 @@ def _repeats(parts: DataFrame, buckets: int) -> DataFrame:
         rows = [(g, _blobs.pack(*_blobs.runs(doc[order[a:b]]), _blobs.small(position[order[a:b]]))) for g, a, b in ends]
         return pa.table({"r": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.binary())})
 
-    return parts.groupBy("g").applyInArrow(tree, "r long, b binary")
+    return parts.groupBy("g").applyInArrow(lean_group(tree), "r long, b binary")
 
 
 def _prime(n: int) -> int:
@@ -252,6 +253,7 @@ def dedupe_substrings(df: DataFrame, size: int = 13, key: str = "doc_id", text:
     plan = _Plan(total, over, groups, size, cap)
     buckets = _prime(max(shuffle_width(spark), -(-size_of // GROUP_BYTES)))
     repeats = work.save(_repeats(_suffixes(df, key, text, plan), buckets), "repeats")
+    work.release()
     types = {f.name: f for f in df.schema.fields}
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     outputs = [*[c for c in kept if not (digests and c == text)], *added]
@@ -285,6 +287,6 @@ def dedupe_substrings(df: DataFrame, size: int = 13, key: str = "doc_id", text:
 
     bucket = F.coalesce(F.pmod(F.col(key).cast("long"), F.lit(buckets)), F.lit(0).cast("long"))
     dealt = df.select(*kept, bucket.alias("__r"))
-    return repeats.groupBy("r").cogroup(dealt.groupBy("__r")).applyInArrow(strip, schema)
+    return repeats.groupBy("r").cogroup(dealt.groupBy("__r")).applyInArrow(lean_cogroup(strip), schema)
 
 
