@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,10 @@ class Workspace:
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of steps whose results are written; it finds them when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""

@@ -36,7 +36,7 @@ from taskloom.llm._memory import lean, lean_cogroup, lean_group
 from taskloom.llm._store import Workspace, shuffle_width
 
 #: Suffixes that a task of the tree stage holds on average, and bytes of text of one in the last stage.
-GROUP_SUFFIXES, GROUP_BYTES = 1 << 18, 8 << 20
+GROUP_SUFFIXES, GROUP_BYTES = 1 << 19, 8 << 20
 #: Suffixes that the first stage holds before it sends them.
 HELD = 1 << 19
 _SLOTS = 1 << 16
@@ -109,35 +109,59 @@ class _Plan:
         return label, _words.mix(name + np.uint64(1)), salts
 
 
+def _packed(label: np.ndarray, doc: np.ndarray, position: np.ndarray) -> bytes:
+    """Suffixes in order of document and position, in few bytes: steps instead of values, high bytes apart."""
+    low = label & _LOW
+    ids, counts = _blobs.runs(doc)
+    step = np.diff(position, prepend=0)
+    first = np.cumsum(counts) - counts
+    if len(position):
+        step[first] = position[first]
+    return _blobs.pack(
+        low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), (low >> np.uint64(48)).astype(np.uint8),
+        ids[:1], _blobs.small(np.diff(ids)), _blobs.small(counts), (step & 255).astype(np.uint8), _blobs.small(step >> 8),
+    )
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, document, position or -1)."""
+    a, b, c, first, gaps, counts, low, high = _blobs.unpack(blob)
+    label = a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64) << np.uint64(48)
+    counts = counts.astype(np.int64)
+    ids = np.cumsum(np.concatenate((first, gaps.astype(np.int64))))
+    if not len(low):
+        return label, np.repeat(ids, counts), np.full(len(label), -1)
+    step = low.astype(np.int64) | high.astype(np.int64) << 8
+    position = np.cumsum(step)
+    begin = np.cumsum(counts) - counts
+    return label, np.repeat(ids, counts), position - np.repeat(position[begin] - step[begin], counts)
+
+
 def _send(plan: _Plan, label: np.ndarray, name: np.ndarray, salts: np.ndarray, doc: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, bytes]]:
     n = np.uint64(plan.groups)
+    change = np.diff(doc)
+    if (change < 0).any() or (np.diff(position)[change == 0] < 0).any():
+        order = np.lexsort((position, doc))
+        label, name, salts, doc, position = (x[order] for x in (label, name, salts, doc, position))
     frequent = np.flatnonzero(salts > 1)
     salt = np.zeros(len(doc), np.uint64)
     salt[frequent] = _words.mix(doc[frequent].astype(np.uint64)) % salts[frequent].astype(np.uint64)
-    group = ((name + salt) % n).astype(np.int64)
-    order, parts = _blobs.by_bucket(group)
+    order, parts = _blobs.by_bucket(((name + salt) % n).astype(np.int64))
     for g, a, b in parts:
         own = order[a:b]
-        low = label[own] & _LOW
-        ids, counts = _blobs.runs(doc[own])
-        yield g, _blobs.pack(
-            low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), (low >> np.uint64(48)).astype(np.uint8),
-            ids, _blobs.small(counts), _blobs.small(position[own]),
-        )
+        yield g, _packed(label[own], doc[own], position[own])
     if len(frequent):
+        # The least document of each frequent window goes to all groups over which the window is dealt.
         order = frequent[np.lexsort((doc[frequent], label[frequent]))]
         order = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
+        order = order[np.argsort(doc[order], kind="stable")]
         times = salts[order]
         each = np.repeat(order, times)
         salt = (np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
         at, parts = _blobs.by_bucket(((name[each] + salt) % n).astype(np.int64))
         for g, a, b in parts:
             own = each[at[a:b]]
-            low = label[own] & _LOW
-            yield g, _blobs.pack(
-                low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), (low >> np.uint64(48)).astype(np.uint8),
-                *_blobs.runs(doc[own]), np.zeros(0, np.uint8),
-            )
+            yield g, _packed(label[own], doc[own], position[:0])
 
 
 def _suffixes(df: DataFrame, key: str, text: str, plan: _Plan) -> DataFrame:
@@ -171,14 +195,7 @@ def _repeats(parts: DataFrame, buckets: int) -> DataFrame:
     """(bucket of documents, packed starts of windows that a smaller document has as well)."""
 
     def tree(table: pa.Table) -> pa.Table:
-        labels, docs, positions = [], [], []
-        for blob in table.column("b").to_pylist():
-            a, b, c, ids, counts, pos = _blobs.unpack(blob)
-            labels.append(a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64) << np.uint64(48))
-            docs.append(np.repeat(ids, counts.astype(np.int64)))
-            positions.append(pos.astype(np.int64) if len(pos) else np.full(len(a), -1))
-        label, doc, position = np.concatenate(labels), np.concatenate(docs), np.concatenate(positions)
-        del labels, docs, positions
+        label, doc, position = (np.concatenate(c) for c in zip(*map(_unpacked, table.column("b").to_pylist()), strict=True))
         order = np.argsort(label)
         sorted_ = label[order]
         node = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
