@@ -94,6 +94,8 @@ def indexed(df: DataFrame, *order: str | Column, bucket_rows: int = 100_000) ->
 
     Rows are dealt out by ranges of the keys and numbered within their range;
     counts of the ranges before give the rest. The keys should tell rows apart.
+    Ranges are settled once: the dealt rows are checkpointed, or persisted
+    where no checkpoint folder is set.
     """
     ordered = df.withColumn("__key", F.struct(*order))
     total = df.count()
@@ -101,6 +103,7 @@ def indexed(df: DataFrame, *order: str | Column, bucket_rows: int = 100_000) ->
     if parts == 1:
         return ordered.withColumn(INDEX, F.row_number().over(Window.orderBy("__key")).cast("long") - 1).drop("__key")
     ranged = ordered.repartitionByRange(parts, "__key").withColumn("__part", F.spark_partition_id())
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("__part").alias("__of"), F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     numbered = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
