@@ -21,10 +21,11 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     labels = work.save(labels, f"{name}-0")
     k = 0
     while True:
+        # A node's own label travels with those of its neighbours, so one aggregation gives the least.
         near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v")
-        near = near.groupBy("u").agg(F.min("c").alias("c"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("was"), F.least("component", "c").alias("to"))
-        step = work.save(step, f"{name}-step")
+        near = near.select(F.col("u").alias("node"), "c", F.lit(None).cast("long").alias("was"))
+        own = labels.select("node", F.col("component").alias("c"), F.col("component").alias("was"))
+        step = work.save(near.union(own).groupBy("node").agg(F.min("c").alias("to"), F.max("was").alias("was")), f"{name}-step")
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         k += 1
         following = work.save(

@@ -41,6 +41,17 @@ class _Labels:
         return table[self.of]
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the given ones join, all from the least of each component: no long chains."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    labels = _Labels(np.arange(len(nodes)))
+    for i, j in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        labels.join(i, j)
+    # Nodes are in ascending order and joins keep the smaller root, so a root is its component's least.
+    least = nodes[labels.roots()] if len(nodes) else nodes
+    return least[least != nodes], nodes[least != nodes]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct tokens."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):

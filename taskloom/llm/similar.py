@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from taskloom.llm import _blobs, _words
 from taskloom.llm._graph import components
+from taskloom.llm._memory import lean, lean_group
 from taskloom.llm._store import Workspace, shuffle_width
-from taskloom.llm.signatures import SignatureTree
+from taskloom.llm.signatures import SignatureTree, stars
 
 #: Bytes of sets that meet in one task, prefix shingles of one, slots of the table of occurrences and of filters.
 BLOCK_BYTES, TASK_BYTES, TASK_PREFIXES = 8 << 20, 16 << 20, 1 << 20
@@ -118,7 +119,7 @@ def _scan(rows: DataFrame, size: int) -> DataFrame:
         columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(6)]
         return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), *columns, pa.array([r[6] for r in out], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
-    return rows.mapInArrow(work, _THIN)
+    return rows.mapInArrow(lean(work), _THIN)
 
 
 def _levels(scanned: DataFrame) -> np.ndarray:
@@ -130,7 +131,7 @@ def _levels(scanned: DataFrame) -> np.ndarray:
             total += np.frombuffer(blob, np.uint16)
         return pa.table({"segment": table.column("segment")[:1], "total": pa.array([total.tobytes()], pa.binary())})
 
-    rows = scanned.where("kind = 1").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, total binary").collect()
+    rows = scanned.where("kind = 1").select("segment", "counts").groupBy("segment").applyInArrow(lean_group(add), "segment int, total binary").collect()
     counts = np.zeros(COUNT_SLOTS)
     for r in rows:
         part = np.frombuffer(r["total"], np.uint64)
@@ -146,7 +147,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
             slot = _slot(batch.column("k").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(slot & 63)], names=["w", "s"])
 
-    bits = keys.mapInArrow(work, "w long, s long").groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(s as int))")).alias("b"))
+    bits = keys.mapInArrow(lean(work), "w long, s long").groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(s as int))")).alias("b"))
     found = bits.toArrow()
     words = np.zeros(FILTER_SLOTS // 64, np.int64)
     words[found.column("w").to_numpy()] = found.column("b").to_numpy()
@@ -172,7 +173,7 @@ def _prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _block_links(parts: DataFrame, percent: int) -> DataFrame:
-    """Links found by the trees of the blocks of rows (task, packed sets): (u, v)."""
+    """(u, v): what joins all that links found by the trees of the blocks of rows (task, packed sets) join."""
 
     def work(table: pa.Table) -> pa.Table:
         blocks: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
@@ -190,9 +191,10 @@ def _block_links(parts: DataFrame, percent: int) -> DataFrame:
             for i, j in SignatureTree(sets, percent, labels).links():
                 u.append(keys[i])
                 v.append(keys[j])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        u, v = stars(np.array(u, np.int64), np.array(v, np.int64))
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
-    return parts.groupBy("g").applyInArrow(work, "u long, v long")
+    return parts.groupBy("g").applyInArrow(lean_group(work), "u long, v long")
 
 
 def _packed(rows: list[tuple[int, int, int, np.ndarray]], tasks: int) -> pa.RecordBatch:
@@ -239,7 +241,7 @@ def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width
                 held, count = [], 0
         yield _packed(held, tasks)
 
-    return _block_links(rows.mapInArrow(emit, "g long, b binary"), percent)
+    return _block_links(rows.mapInArrow(lean(emit), "g long, b binary"), percent)
 
 
 def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size: int, percent: int, width: int) -> DataFrame:
@@ -293,11 +295,11 @@ def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size:
         hit = np.repeat(several, np.diff(np.append(at, len(token))))
         return pa.table({"t": pa.array(token[hit].view(np.int64)), "k": pa.array(key[hit])})
 
-    return rows.mapInArrow(emit, "g long, b binary").groupBy("g").applyInArrow(shared, "t long, k long")
+    return rows.mapInArrow(lean(emit), "g long, b binary").groupBy("g").applyInArrow(lean_group(shared), "t long, k long")
 
 
 def _candidates(meets: DataFrame, percent: int, width: int) -> DataFrame:
-    """(u, v): pairs of two components in rows (t, k, component, n, parity) that may link."""
+    """(u, v): what joins the pairs of two components in rows (t, k, component, n, parity) that may link."""
 
     def folded(blobs: list[bytes], bits: np.ndarray, to: int) -> np.ndarray:
         """Bitmaps of ``to`` or twice as many bits, at ``to`` bits."""
@@ -332,10 +334,11 @@ def _candidates(meets: DataFrame, percent: int, width: int) -> DataFrame:
                     near = (100 + percent) * differ <= (100 - percent) * (n[p] + n[q])
                     found.append(np.stack((np.minimum(k[p], k[q])[near], np.maximum(k[p], k[q])[near]), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
+        u, v = stars(pairs[:, 0], pairs[:, 1])
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     tasks = 4 * width
-    return meets.groupBy(F.pmod(F.xxhash64("t"), F.lit(tasks)).alias("g")).applyInArrow(work, "u long, v long").distinct()
+    return meets.groupBy(F.pmod(F.xxhash64("t"), F.lit(tasks)).alias("g")).applyInArrow(lean_group(work), "u long, v long").distinct()
 
 
 def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: int, percent: int, width: int) -> DataFrame:
@@ -365,8 +368,8 @@ def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: in
                 c = batch.slice(i, 500)
                 yield _packed([(x, k, l, np.frombuffer(s, np.uint64)) for x, k, l, s in zip(*[c.column(n).to_pylist() for n in ("block", "k", "component", "s")], strict=True)], tasks)
 
-    found = rows.mapInArrow(sets, "k long, s binary").join(placed, "k").select("block", "k", "component", "s")
-    return _block_links(found.mapInArrow(pack, "g long, b binary"), percent)
+    found = rows.mapInArrow(lean(sets), "k long, s binary").join(placed, "k").select("block", "k", "component", "s")
+    return _block_links(found.mapInArrow(lean(pack), "g long, b binary"), percent)
 
 
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,7 +399,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     near = _near_links(rows, reps, size, percent, width)
     if near is not None:
         links = links.union(work.save(near, "near"))
+        del near
+        work.release()
     shared = work.save(_shared_prefixes(rows, reps, levels, size, percent, width), "shared")
+    work.release()
     labels = components(links, work, "first")
     known = shared.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "k", F.coalesce("component", "k").alias("component"))
     known = work.save(known, "known")
@@ -408,6 +414,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
         members = families.join(labels.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("component"), "family")
         members = work.save(members, "members")
         more = work.save(_family_links(rows, reps, members, size, percent, width), "more")
+        work.release()
         if more.limit(1).count():
             labels = components(links.union(more), work, "second")
     out = thin.select("k", "n").join(labels.withColumnRenamed("node", "k"), "k", "left")
