@@ -128,13 +128,17 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNT_SLOTS // SEGMENTS, np.uint64)
         for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, np.uint16)
-        return pa.table({"segment": table.column("segment")[:1], "total": pa.array([total.tobytes()], pa.binary())})
-
-    rows = scanned.where("kind = 1").select("segment", "counts").groupBy("segment").applyInArrow(lean_group(add), "segment int, total binary").collect()
+            total += np.frombuffer(blob, np.uint16 if len(blob) == 2 * len(total) else np.uint64)
+        return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "segment int, counts binary"
+    parts = scanned.where("kind = 1").select("segment", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("part"))
+    # Many tasks' tables are added in two steps, so that none has to hold all of a segment's.
+    parts = parts.groupBy("segment", "part").applyInArrow(lean_group(add), schema)
+    rows = parts.groupBy("segment").applyInArrow(lean_group(add), schema).collect()
     counts = np.zeros(COUNT_SLOTS)
     for r in rows:
-        part = np.frombuffer(r["total"], np.uint64)
+        part = np.frombuffer(r["counts"], np.uint64)
         counts[r["segment"] * len(part) : (r["segment"] + 1) * len(part)] = part
     return np.clip(np.log2((counts + 1) / (2 * counts.mean() + 2)), 0, 15).astype(np.uint8)
 
