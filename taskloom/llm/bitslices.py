@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import _blobs, _words
+from taskloom.llm._memory import lean, lean_cogroup
 from taskloom.llm._store import Workspace
 
 #: Rows of a block of the index on average, queries of a block, low slices left out of the sum.
-BLOCK_ROWS, BLOCK_QUERIES, SKIP = 1 << 16, 32, 3
+BLOCK_ROWS, BLOCK_QUERIES, SKIP = 1 << 16, 64, 3
 
 
 def quantise(vectors: np.ndarray, scale: float = 256.0) -> np.ndarray:
@@ -190,7 +191,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
                 made = [(g, _blobs.pack(ids[order[a:b]], small[order[a:b]].ravel())) for g, a, b in ends]
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["g", "b"])
 
-        return rows_.select("k", "v").mapInArrow(work, "g long, b binary")
+        return rows_.select("k", "v").mapInArrow(lean(work), "g long, b binary")
 
     asked_rows = rows.where("q").groupBy("k").agg(F.min("v").alias("v"))
     work = Workspace(spark, "bitslices")
@@ -216,7 +217,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
                 columns[2] += scores.tolist()
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "k", "score"), columns, strict=True)})
 
-    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(meet, "query_id long, k long, score long")
+    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(lean_cogroup(meet), "query_id long, k long, score long")
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("k").alias("k")))), 1, k)
     merged = best.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "t"))
     return merged.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.k").alias(out_key), (-F.col("t.s")).alias("score"))
