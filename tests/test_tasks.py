@@ -216,3 +216,47 @@ def test_columns_agree_with_rows(spark):
 def test_row_task_needs_a_type(spark):
     with pytest.raises(TypeError, match="return annotation"):
         task(lambda x: x)(F.col("x"))
+
+
+def test_own_strategy_is_honoured():
+    with pytest.raises(BackendError):
+        map_tasks(task(backend="nope")(lambda x: x), [1])
+    seen = []
+
+    @task(backend="threads")
+    def where(x):
+        import threading
+
+        seen.append(threading.current_thread().name)
+        return x
+
+    assert map_tasks(where, [1]) == [1] and seen[0].startswith("taskloom")
+
+
+def test_raising_hook_is_not_retried():
+    runs = []
+
+    class Bad:
+        def after_node_execute(self, metadata):
+            raise RuntimeError("hook")
+
+    @task(retries=3)
+    def once():
+        runs.append(1)
+
+    with session(plugins=[Bad()]), pytest.raises(RuntimeError, match="hook"):
+        once()
+    assert runs == [1]
+
+
+def test_failing_dataset_is_inside_the_attempt(tmp_path):
+    runs = []
+
+    @task(retries=1, dataset="../outside.txt")
+    def write():
+        runs.append(1)
+        return "x"
+
+    with session(dataset_store=str(tmp_path)), pytest.raises(TaskError, match="after 2 attempts.*outside"):
+        write()
+    assert runs == [1, 1]
