@@ -88,9 +88,16 @@ def test_scores(spark):
     assert all(r.n_known == 0 for r in hmm.score_texts(df.limit(5), F.lit(True)).collect())
 
 
-def test_probabilities_sum_to_one():
-    """Over all words known and one never seen of each rare class, at any state."""
-    counts = np.array([9, 7, 5])
-    frequent = hmm.Frequent(np.array([5, 6, 7], np.uint64), counts, np.array([0, 1, 2]))
+def test_probabilities_sum_to_one(spark):
+    """A class's mass is what its words and, if it is a rare one, a word never seen take of it together."""
+    words = [(5, 0, 9), (6, 1, 7), (7, 1, 2), (8, 3, 1), (int(hmm._END_HASH), hmm.RARE, 4)]
+    counts = spark.createDataFrame(words, "h long, kind long, c long")
+    frequent = hmm.Frequent(np.array([6, 5], np.uint64), np.array([7, 9]), np.array([1, 0]))
+    mass = hmm._class_mass(counts, frequent)
     at, hit = frequent.find(np.array([6, 9], np.uint64))
-    assert hit.tolist() == [True, False] and at[0] == 1
+    assert hit.tolist() == [True, False] and frequent.counts[at[0]] == 7
+    assert mass[:2].tolist() == [10, 8] and mass[hmm.END] == 5
+    rare = {k: 1 for k in range(hmm.RARE)}
+    for _, kind, c in words[2:4]:
+        rare[kind] += c + 1
+    assert mass[hmm.FREQUENT : hmm.END].tolist() == [rare[k] for k in range(hmm.RARE)]
