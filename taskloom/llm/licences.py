@@ -1,16 +1,21 @@
 """License scans: a trained classifier of licence paragraphs, confirmed by templates.
 
-A candidate paragraph is a stretch of words around word pairs that licence
-templates have. Its features are sparse hashed indicators of single words, pairs and
-triples that occur in templates, and the share of its words that don't.
-Multinomial logistic regression names the licence family or "unknown"; a
-sigmoid fitted on rows outside the fit calibrates how likely the paragraph is a
-licence at all; and the family stands only if enough of one of its templates
-is there.
+A candidate paragraph is a window of words that holds enough of one template's
+word pairs; every place is a window's start, so none is cut. Windows with most
+pairs come first, and a pair of the text counts for one window only, so notices
+in a row, on one line or many, are found each. What template pairs are left
+form stretches that are candidates too. A candidate's features are sparse hashed
+indicators of single words, pairs and triples that occur in templates, and the
+share of its words that don't. Multinomial logistic regression tells licences
+from "unknown"; a sigmoid fitted on rows outside the fit calibrates how likely
+the paragraph is a licence at all; the family is that of the template with most
+pairs there, the regression's choice among equals, and stands only if enough of
+the template is there.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,8 +81,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FAMILIES = sorted(TEMPLATES)
 _BITS = 20
 _PUNCTUATION = np.array([0x20 if chr(b) in ",;:()[]{}\"'!?<>*/" else b for b in range(256)], np.uint8)
-#: Words without a template pair that a paragraph may hold in a row, and its words at most.
-_GAP, _LONGEST = 3, 96
+#: Words without a template pair that a paragraph may hold in a row, and at least by how many a window may outgrow its template.
+_GAP = 3
 
 
 @dataclass(frozen=True)
@@ -124,6 +129,13 @@ class LicenceModel:
         self.family = np.array([f for f, _ in sentences])
         self.pairs = [np.unique(_words.windows(w, 2)) for w in words]
         self.known_pairs = np.unique(np.concatenate(self.pairs))
+        #: Known pairs' templates, as runs of one array; pairs that confirm a template, and the span of its windows' pairs.
+        inside = np.array([np.isin(self.known_pairs, p) for p in self.pairs])
+        self.owners = np.nonzero(inside.T)[1]
+        self.owned = np.append(0, np.cumsum(inside.sum(axis=0)))
+        self.total = np.array([len(p) for p in self.pairs])
+        self.needed = np.ceil(s.confirmed * self.total - 1e-9).astype(np.int64)
+        self.span = np.array([len(w) - 2 + max(_GAP, len(w) // 4) for w in words])
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.known_pairs & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         grams = np.unique(np.concatenate([_grams(w) for w in words]))
@@ -188,31 +200,89 @@ class LicenceModel:
             w += speed
         return w
 
-    def paragraphs(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges around template pairs."""
+    def _hits(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that templates have, and which known pairs they are."""
         at = np.flatnonzero(self.maybe[(pairs & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
+        which = np.minimum(np.searchsorted(self.known_pairs, pairs[at]), len(self.known_pairs) - 1)
+        hit = self.known_pairs[which] == pairs[at]
+        return at[hit], which[hit]
+
+    def notices(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, int | None]]:
+        """Candidate word ranges in order, each with the template that its window holds; None for stretches of other template pairs."""
+        at, which = self._hits(pairs)
         if not len(at):
             return []
-        at = at[np.isin(pairs[at], self.known_pairs)]
-        out: list[tuple[int, int]] = []
-        for i in at.tolist():
-            if out and i <= out[-1][1] + _GAP and i + 2 - out[-1][0] <= _LONGEST:
-                out[-1] = (out[-1][0], i + 2)
+        runs = self.owned[which + 1] - self.owned[which]
+        hit = np.repeat(np.arange(len(at)), runs)
+        first = np.cumsum(runs) - runs
+        owner = self.owners[np.arange(len(hit)) - np.repeat(first - self.owned[which], runs)]
+        distinct = np.bincount(np.unique(owner * len(self.known_pairs) + which[hit]) // len(self.known_pairs), minlength=len(self.total))
+        hits: dict[int, np.ndarray] = {}
+        free = np.ones(len(at), bool)
+
+        def window(k: int, x: int) -> tuple[int, np.ndarray]:
+            """How many of a template's pairs are free from a hit of it on, and the hits."""
+            own = hits[k]
+            own = own[x : np.searchsorted(at[own], at[own[x]] + self.span[k], "right")]
+            own = own[free[own]]
+            own = own[np.sort(np.unique(which[own], return_index=True)[1])]
+            return len(own), own
+
+        heap: list[tuple[int, float, int, int, int]] = []
+        for k in np.flatnonzero(distinct >= self.needed).tolist():
+            hits[k] = hit[owner == k]
+            for x in range(len(hits[k])):
+                n, own = window(k, x)
+                if n >= self.needed[k]:
+                    heap.append((-n, -n / self.total[k], int(at[own[-1]] - at[own[0]]), k, x))
+        heapq.heapify(heap)
+        out: list[tuple[int, int, int | None]] = []
+        taken = np.zeros(len(words) + 1, np.int64)
+        while heap:
+            was, *_, k, x = heapq.heappop(heap)
+            if not free[hits[k][x]]:
+                continue
+            n, own = window(k, x)
+            if n < self.needed[k]:
+                continue
+            if n < -was:
+                heapq.heappush(heap, (-n, -n / self.total[k], int(at[own[-1]] - at[own[0]]), k, x))
+                continue
+            free[own] = False
+            a, b = int(at[own[0]]), int(at[own[-1]]) + 2
+            taken[a] += 1
+            taken[b] -= 1
+            out.append((a, b, k))
+        inside = np.cumsum(taken) > 0
+        left: list[tuple[int, int]] = []
+        for i in at[free & ~inside[at]].tolist():
+            if left and i <= left[-1][1] + _GAP and not inside[left[-1][1] - 1 : i].any():
+                left[-1] = (left[-1][0], i + 2)
             else:
-                out.append((i, i + 2))
-        return [(max(0, a - 1), min(len(words), b + 1)) for a, b in out]
+                left.append((i, i + 2))
+        out += [(a, b, None) for a, b in left]
+        return [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])]
+
+    def paragraphs(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+        """Word ranges around template pairs."""
+        return [(a, b) for a, b, _ in self.notices(words, pairs)]
 
-    def judge(self, words: np.ndarray) -> tuple[str, float, float] | None:
+    def judge(self, words: np.ndarray, template: int | None = None) -> tuple[str, float, float] | None:
         """(family, probability of a licence, part of the template) or None for an unknown or unconfirmed paragraph."""
         logits = self._row(words) @ self.weight
         margin = float(logits[:-1].max() - logits[-1])
         chance = float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500))))
         if chance < self.settings.least:
             return None
-        family = int(logits[:-1].argmax())
         own = np.unique(_words.windows(words, 2))
-        part = max(float(np.isin(self.pairs[k], own).mean()) for k in np.flatnonzero(self.family == family))
-        return (FAMILIES[family], chance, part) if part >= self.settings.confirmed else None
+        found = np.array([np.isin(p, own).sum() for p in self.pairs])
+        k = template
+        if k is None:
+            known = np.flatnonzero(found >= self.needed)
+            if not len(known):
+                return None
+            k = max(known.tolist(), key=lambda k: (found[k], found[k] / self.total[k], logits[self.family[k]]))
+        return FAMILIES[self.family[k]], chance, float(found[k] / self.total[k])
 
 
 def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -238,8 +308,8 @@ def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) ->
                 pairs = _words.windows(group.hashes, 2)
                 for x, y in zip(group.edges[:-1].tolist(), group.edges[1:].tolist(), strict=True):
                     words = group.hashes[x:y]
-                    spans = model.paragraphs(words, pairs[x : max(x, y - 1)])
-                    found = [f for f in (model.judge(words[i:j]) for i, j in spans) if f]
+                    spans = model.notices(words, pairs[x : max(x, y - 1)])
+                    found = [f for f in (model.judge(words[i:j], k) for i, j, k in spans) if f]
                     rows.append((",".join(sorted({f[0] for f in found})), len(spans), len(found), max((f[1] for f in found), default=None)))
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], names=[*kept, *names])

@@ -43,3 +43,14 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.licences for r in got if r.licences} == {900: "MIT"}
     assert all((r.probability is None) == (r.n_found == 0) for r in got)
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_each_notice_of_several_is_found(spark):
+    """Notices in a row, on one line and far longer lists of them, and one after a stretch of any length."""
+    nc, mit, apache = "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", licences.TEMPLATES["Apache-2.0"][1]
+    one_of_each = [licences.TEMPLATES[f][0] for f in licences.FAMILIES]
+    texts = [(f"{nc}\n{mit}", "CC-BY-NC,MIT", 2), (f"{mit} {nc} {mit}", "CC-BY-NC,MIT", 3), ("\n".join(one_of_each), ",".join(licences.FAMILIES), len(one_of_each))]
+    for shift in range(60, 100, 7):
+        texts.append(("of the License " * (shift // 3) + apache, "Apache-2.0", 1))
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_found) for r in got} == {i: (f, n) for i, (_, f, n) in enumerate(texts)}
