@@ -10,7 +10,10 @@ share of its words that don't. Multinomial logistic regression tells licences
 from "unknown"; a sigmoid fitted on rows outside the fit calibrates how likely
 the paragraph is a licence at all; the family is that of the template with most
 pairs there, the regression's choice among equals, and stands only if enough of
-the template is there.
+the template is there, with the version it names and what sets it apart from
+other families' templates alike. Licence text without a family that stands, an
+SPDX identifier outside the list and a grant under a licence of another name are
+reported as "unknown".
 """
 
 from __future__ import annotations
@@ -28,12 +31,42 @@ from taskloom.llm import _words
 from taskloom.llm._memory import lean
 from taskloom.llm.quality import _sigmoid
 
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+    "notice shall be included in all copies or substantial portions of the Software."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
+    "source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+    "and this permission notice appear in all copies."
+)
+_UNLICENSE = (
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+    "commercial or non-commercial, and by any means."
+)
+
+
+def _gnu(name: str, version: str, spdx: str) -> tuple[str, ...]:
+    """The short notice, the file headers and the identifiers of a GNU licence."""
+    own = f"under the terms of the GNU {name} as published by the Free Software Foundation; either version {version}"
+    return (
+        f"This work is licensed under the GNU {name}, version {version}.",
+        f"This program is free software: you can redistribute it and/or modify it {own} of the License, or (at your option) any later version.",
+        f"This library is free software; you can redistribute it and/or modify it {own} of the License, or (at your option) any later version.",
+        f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {version} as published by the Free Software Foundation.",
+        *[f"SPDX-License-Identifier: {spdx}{end}" for end in ("", "-only", "-or-later")],
+    )
+
+
 # Sentences of licence notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": (
-        "This work is licensed under the GNU Affero General Public License, version 3.",
-        "SPDX-License-Identifier: AGPL-3.0",
-    ),
+    "AGPL-3.0": _gnu("Affero General Public License", "3", "AGPL-3.0"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -43,6 +76,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        _BSD,
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "CC-BY": (
@@ -57,28 +93,48 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0",
+    "CC0-1.0": (
+        "This work is dedicated to the public domain under CC0 1.0.",
+        "This work is licensed under a CC0 1.0 Universal Public Domain Dedication.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "EPL-1.0": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+        "Licensed under the Eclipse Public License 1.0.",
+        "SPDX-License-Identifier: EPL-1.0",
     ),
-    "LGPL-3.0": (
-        "This work is licensed under the GNU Lesser General Public License, version 3.",
-        "SPDX-License-Identifier: LGPL-3.0",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "Licensed under the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
+    "GPL-2.0": _gnu("General Public License", "2", "GPL-2.0"),
+    "GPL-3.0": _gnu("General Public License", "3", "GPL-3.0"),
+    "ISC": ("Licensed under the ISC License.", _ISC, "SPDX-License-Identifier: ISC"),
+    "LGPL-2.0": _gnu("Library General Public License", "2", "LGPL-2.0"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "LGPL-2.1"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "LGPL-3.0"),
     "MIT": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT License.",
+        "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        _MIT,
         "SPDX-License-Identifier: MIT",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", _UNLICENSE, "SPDX-License-Identifier: Unlicense"),
     "proprietary": ("All rights reserved.",),
 }
 FAMILIES = sorted(TEMPLATES)
+#: Grants that name no family; a star stands for one to _NAME words.
+GRANTS = tuple(f"{verb} under {the}* {noun}" for verb in ("licensed", "released", "distributed", "available") for the in ("", "the ", "the terms of the ") for noun in ("license", "licence"))
+UNKNOWN, _NAME = "unknown", 6
+LABELS = [*FAMILIES, UNKNOWN]
 _BITS = 20
 _PUNCTUATION = np.array([0x20 if chr(b) in ",;:()[]{}\"'!?<>*/" else b for b in range(256)], np.uint8)
 #: Words without a template pair that a paragraph may hold in a row, and at least by how many a window may outgrow its template.
@@ -126,24 +182,51 @@ class LicenceModel:
         self.settings = s = settings or Settings()
         sentences = [(FAMILIES.index(f), t) for f in FAMILIES for t in TEMPLATES[f]]
         words = _hashes([t for _, t in sentences])
+        self.marker, *self.joints = [int(h[0]) for h in _hashes(["SPDX-License-Identifier", "or", "and", "with"])]
+        self.spdx = {int(w[1]): f for (f, _), w in zip(sentences, words, strict=True) if int(w[0]) == self.marker}
+        # Grants as verbs before "under", and the nouns that end them.
+        self.verbs, self.nouns = (np.array([h[0] for h in _hashes(t)]) for t in (["licensed", "released", "distributed", "available"], ["license", "licence"]))
+        self.under = _hashes(["under"])[0][0]
         self.family = np.array([f for f, _ in sentences])
         self.pairs = [np.unique(_words.windows(w, 2)) for w in words]
         self.known_pairs = np.unique(np.concatenate(self.pairs))
         #: Known pairs' templates, as runs of one array; pairs that confirm a template, and the span of its windows' pairs.
-        inside = np.array([np.isin(self.known_pairs, p) for p in self.pairs])
-        self.owners = np.nonzero(inside.T)[1]
-        self.owned = np.append(0, np.cumsum(inside.sum(axis=0)))
+        self.inside = np.array([np.isin(self.known_pairs, p) for p in self.pairs])
+        self.owners = np.nonzero(self.inside.T)[1]
+        self.owned = np.append(0, np.cumsum(self.inside.sum(axis=0)))
         self.total = np.array([len(p) for p in self.pairs])
         self.needed = np.ceil(s.confirmed * self.total - 1e-9).astype(np.int64)
         self.span = np.array([len(w) - 2 + max(_GAP, len(w) // 4) for w in words])
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.known_pairs & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        grams = np.unique(np.concatenate([_grams(w) for w in words]))
+        self.keys = [self._keys(k, t) for k, (_, t) in enumerate(sentences)]
+        grams = np.unique(np.concatenate([_grams(w) for w in words] + [_grams(h) for g in GRANTS for h in _hashes(g.split("*"))]))
         self.column = np.full(1 << _BITS, -1, np.int32)
         self.column[grams] = np.arange(len(grams))
         self.width = len(grams) + 2
         self._train(words, s)
 
+    def _keys(self, k: int, text: str) -> list[tuple[np.ndarray, int]]:
+        """Pairs of which some, the number given, must be there: each other family's alike template lacks them, or they have the version."""
+        out = []
+        for j in np.flatnonzero(self.family != self.family[k]):
+            if 2 * np.isin(self.pairs[k], self.pairs[j]).sum() >= self.total[k]:
+                only = np.setdiff1d(self.pairs[k], self.pairs[j])
+                out.append((only, -(-len(only) // 2)))
+        version = FAMILIES[self.family[k]].rpartition("-")[2]
+        if version[0].isdigit():
+            names = {version, version.removesuffix(".0"), f"v{version}"}
+            own = _hashes([text])[0]
+            at = np.flatnonzero(np.isin(own, np.array([_hashes([n])[0][0] for n in names])))
+            if len(at):
+                pairs = _words.windows(own, 2)
+                out.append((np.unique(pairs[np.unique(np.clip(np.concatenate((at - 1, at)), 0, len(pairs) - 1))]), 1))
+        return out
+
+    def _stands(self, k: int, own: np.ndarray) -> bool:
+        """Whether pairs have what sets a template apart."""
+        return all(np.isin(some, own).sum() >= n for some, n in self.keys[k])
+
     def _row(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(self.width, np.float32)
         grams = _grams(words)
@@ -164,6 +247,12 @@ class LicenceModel:
                 extra = rng.integers(0, 2**63, int(rng.integers(0, 4)) if k % 2 else 0).astype(np.uint64)
                 rows.append(self._row(np.concatenate((extra[: len(extra) // 2], own, extra[len(extra) // 2 :]))))
                 labels.append(f)
+        for g in GRANTS:
+            before, after = (_hashes([t])[0] for t in g.split("*"))
+            for _ in range(s.rows_per_template):
+                name = rng.integers(0, 2**63, int(rng.integers(1, _NAME + 1))).astype(np.uint64)
+                rows.append(self._row(np.concatenate((before, name, after))))
+                labels.append(len(FAMILIES))
         for k in range(s.unknown_rows):
             n = int(rng.integers(2, 14))
             if k % 3:
@@ -174,7 +263,7 @@ class LicenceModel:
                 own = w[at : at + max(1, min(3, len(w) // 3))]
             noise = rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)
             rows.append(self._row(np.concatenate((own, noise))))
-            labels.append(len(FAMILIES))
+            labels.append(len(LABELS))
         x, y = np.array(rows), np.array(labels)
         known, margin = np.zeros(len(y)), np.zeros(len(y))
         for k in range(4):
@@ -182,13 +271,13 @@ class LicenceModel:
             weight = self._descend(x[~out], y[~out], s)
             logits = x[out] @ weight
             margin[out] = logits[:, :-1].max(axis=1) - logits[:, -1]
-        known = (y < len(FAMILIES)).astype(np.int64)
+        known = (y < len(LABELS)).astype(np.int64)
         self.slope, self.offset = _sigmoid(margin, known)
         self.weight = self._descend(x, y, s)
 
     def _descend(self, x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
         """Full-batch gradient descent with momentum."""
-        goal = np.eye(len(FAMILIES) + 1, dtype=np.float32)[y]
+        goal = np.eye(len(LABELS) + 1, dtype=np.float32)[y]
         w = np.zeros((x.shape[1], goal.shape[1]), np.float32)
         speed = np.zeros_like(w)
         for _ in range(s.steps):
@@ -210,8 +299,9 @@ class LicenceModel:
     def notices(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, int | None]]:
         """Candidate word ranges in order, each with the template that its window holds; None for stretches of other template pairs."""
         at, which = self._hits(pairs)
+        stated = self._stated(words)
         if not len(at):
-            return []
+            return stated
         runs = self.owned[which + 1] - self.owned[which]
         hit = np.repeat(np.arange(len(at)), runs)
         first = np.cumsum(runs) - runs
@@ -219,6 +309,9 @@ class LicenceModel:
         distinct = np.bincount(np.unique(owner * len(self.known_pairs) + which[hit]) // len(self.known_pairs), minlength=len(self.total))
         hits: dict[int, np.ndarray] = {}
         free = np.ones(len(at), bool)
+        taken = np.zeros(len(words) + 1, np.int64)
+        for a, b, _ in stated:
+            free[(at >= a) & (at < b)] &= int(words[a]) != self.marker
 
         def window(k: int, x: int) -> tuple[int, np.ndarray]:
             """How many of a template's pairs are free from a hit of it on, and the hits."""
@@ -228,31 +321,40 @@ class LicenceModel:
             own = own[np.sort(np.unique(which[own], return_index=True)[1])]
             return len(own), own
 
-        heap: list[tuple[int, float, int, int, int]] = []
+        def rank(k: int, x: int, n: int, own: np.ndarray) -> tuple[bool, int, float, int, int, int]:
+            return not self._stands(k, self.known_pairs[which[own]]), -n, -n / self.total[k], int(at[own[-1]] - at[own[0]]), k, x
+
+        heap: list[tuple[bool, int, float, int, int, int]] = []
         for k in np.flatnonzero(distinct >= self.needed).tolist():
             hits[k] = hit[owner == k]
             for x in range(len(hits[k])):
                 n, own = window(k, x)
                 if n >= self.needed[k]:
-                    heap.append((-n, -n / self.total[k], int(at[own[-1]] - at[own[0]]), k, x))
+                    heap.append(rank(k, x, n, own))
         heapq.heapify(heap)
         out: list[tuple[int, int, int | None]] = []
-        taken = np.zeros(len(words) + 1, np.int64)
         while heap:
-            was, *_, k, x = heapq.heappop(heap)
+            _, was, *_, k, x = heapq.heappop(heap)
             if not free[hits[k][x]]:
                 continue
             n, own = window(k, x)
             if n < self.needed[k]:
                 continue
             if n < -was:
-                heapq.heappush(heap, (-n, -n / self.total[k], int(at[own[-1]] - at[own[0]]), k, x))
+                heapq.heappush(heap, rank(k, x, n, own))
                 continue
             free[own] = False
             a, b = int(at[own[0]]), int(at[own[-1]]) + 2
             taken[a] += 1
             taken[b] -= 1
             out.append((a, b, k))
+        # A grant whose words are in a window is that window's.
+        inside = np.cumsum(taken) > 0
+        for a, b, k in stated:
+            if int(words[a]) == self.marker or not inside[a:b].any():
+                taken[a] += 1
+                taken[b] -= 1
+                out.append((a, b, k))
         inside = np.cumsum(taken) > 0
         left: list[tuple[int, int]] = []
         for i in at[free & ~inside[at]].tolist():
@@ -263,33 +365,61 @@ class LicenceModel:
         out += [(a, b, None) for a, b in left]
         return [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])]
 
+    def _stated(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """SPDX expressions, once for each identifier, and grants under licences of any name; labels as -1 - label."""
+        out = []
+        for m in np.flatnonzero(words == np.uint64(self.marker)).tolist():
+            j = m + 1
+            while j < len(words):
+                out.append((m, j + 1, -1 - self.spdx.get(int(words[j]), len(FAMILIES))))
+                if j + 2 >= len(words) or int(words[j + 1]) not in self.joints:
+                    break
+                # What follows "with" is an exception, no licence.
+                j += 4 if int(words[j + 1]) == self.joints[2] and j + 4 < len(words) and int(words[j + 3]) in self.joints else 2
+                if int(words[j - 1]) == self.joints[2]:
+                    break
+        end = 0
+        for u in np.flatnonzero(words == self.under).tolist():
+            if u and u > end and words[u - 1] in self.verbs:
+                stop = np.flatnonzero(np.isin(words[u + 2 : u + 6 + _NAME], self.nouns))
+                if len(stop):
+                    end = u + 3 + int(stop[0])
+                    out.append((u - 1, end, -1 - len(FAMILIES)))
+        return out
+
     def paragraphs(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
         """Word ranges around template pairs."""
         return [(a, b) for a, b, _ in self.notices(words, pairs)]
 
     def judge(self, words: np.ndarray, template: int | None = None) -> tuple[str, float, float] | None:
-        """(family, probability of a licence, part of the template) or None for an unknown or unconfirmed paragraph."""
+        """(family or "unknown", probability of a licence, part of the template) or None for no or an unconfirmed licence."""
         logits = self._row(words) @ self.weight
         margin = float(logits[:-1].max() - logits[-1])
         chance = float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500))))
+        if template is not None and template < 0:
+            # An SPDX identifier is a statement, whatever the classifier says of it; a grant is judged.
+            stated = np.uint64(self.marker) in words
+            return (LABELS[-1 - template], chance, 1.0) if stated or chance >= self.settings.least else None
         if chance < self.settings.least:
             return None
         own = np.unique(_words.windows(words, 2))
-        found = np.array([np.isin(p, own).sum() for p in self.pairs])
+        which = np.searchsorted(self.known_pairs, own)
+        which = which[self.known_pairs[np.minimum(which, len(self.known_pairs) - 1)] == own]
+        found = self.inside[:, which].sum(axis=1)
         k = template
         if k is None:
             known = np.flatnonzero(found >= self.needed)
             if not len(known):
                 return None
-            k = max(known.tolist(), key=lambda k: (found[k], found[k] / self.total[k], logits[self.family[k]]))
-        return FAMILIES[self.family[k]], chance, float(found[k] / self.total[k])
+            k = max(known.tolist(), key=lambda k: (self._stands(k, own), found[k], found[k] / self.total[k], logits[self.family[k]]))
+        return FAMILIES[self.family[k]] if self._stands(k, own) else UNKNOWN, chance, float(found[k] / self.total[k])
 
 
 def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
     """Adds each row's licence findings, over its whole text.
 
-    ``licences``: the families found, in order and joined by commas ("" if
-    none); ``n_paragraphs``: candidate paragraphs; ``n_found``: confirmed ones;
+    ``licences``: the families found, "unknown" for licences that aren't of
+    FAMILIES, in order and joined by commas ("" if none); ``n_paragraphs``: candidate paragraphs; ``n_found``: confirmed ones;
     ``probability``: the highest of theirs (null if none). Null and empty
     texts have none. Repeated rows get the same result; columns named as an
     added one are replaced; an empty table stays empty.

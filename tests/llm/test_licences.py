@@ -54,3 +54,31 @@ def test_each_notice_of_several_is_found(spark):
         texts.append(("of the License " * (shift // 3) + apache, "Apache-2.0", 1))
     got = licences.scan(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")).collect()
     assert {r.doc_id: (r.licences, r.n_found) for r in got} == {i: (f, n) for i, (_, f, n) in enumerate(texts)}
+
+
+def test_versions_headers_and_unknown_licences(spark):
+    def header(name, version):
+        return (
+            "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU "
+            f"{name} as published by\n * the Free Software Foundation; either version {version} of the License, or\n * (at your option) any later version."
+        )
+
+    general = "General Public License"
+    texts = {
+        header(general, 2): "GPL-2.0",
+        header(general, 3): "GPL-3.0",
+        header(general, 4): "unknown",
+        header(f"Affero {general}", 3): "AGPL-3.0",
+        header(f"Lesser {general}", 2.1): "LGPL-2.1",
+        header(f"Lesser {general}", 3): "LGPL-3.0",
+        "Licensed under the Apache License, Version 1.1.": "unknown",
+        "Licensed under the Tapir Sharing License.": "unknown",
+        "SPDX-License-Identifier: Tapir-1.0": "unknown",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        licences._ISC: "ISC",
+        licences._MIT: "MIT",
+        "A driver is licensed under the law and may park": "",
+    }
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r.doc_id]: r.licences for r in got} == texts
