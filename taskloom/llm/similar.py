@@ -302,8 +302,8 @@ def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size:
     return rows.mapInArrow(lean(emit), "g long, b binary").groupBy("g").applyInArrow(lean_group(shared), "t long, k long")
 
 
-def _candidates(meets: DataFrame, percent: int, width: int) -> DataFrame:
-    """(u, v): what joins the pairs of two components in rows (t, k, component, n, parity) that may link."""
+def _candidates(meets: DataFrame, percent: int, width: int, whole: bool = False) -> DataFrame:
+    """(u, v): what joins the pairs of two components in rows (t, k, component, n, parity) that may link; with ``whole`` the pairs themselves."""
 
     def folded(blobs: list[bytes], bits: np.ndarray, to: int) -> np.ndarray:
         """Bitmaps of ``to`` or twice as many bits, at ``to`` bits."""
@@ -338,7 +338,7 @@ def _candidates(meets: DataFrame, percent: int, width: int) -> DataFrame:
                     near = (100 + percent) * differ <= (100 - percent) * (n[p] + n[q])
                     found.append(np.stack((np.minimum(k[p], k[q])[near], np.maximum(k[p], k[q])[near]), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        u, v = stars(pairs[:, 0], pairs[:, 1])
+        u, v = (pairs[:, 0], pairs[:, 1]) if whole else stars(pairs[:, 0], pairs[:, 1])
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     tasks = 4 * width
@@ -376,6 +376,80 @@ def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: in
     return _block_links(found.mapInArrow(lean(pack), "g long, b binary"), percent)
 
 
+def _distinct_sets(rows: DataFrame, size: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scanned, thin rows, those that take part, distinct sets by their least key) of rows (k, t)."""
+    scanned = work.save(_scan(rows, size), "scan")
+    thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2", "parity")
+    usable = thin.where("k is not null and n > 0")
+    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
+    return scanned, thin, usable, work.save(reps, "sets")
+
+
+def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links as (u, v, shared), u < v, between the least keys of different sets, and (key, n_shingles, set_id, n_links) for every row.
+
+    ``shared`` counts the shingles both have. ``set_id`` is the least key with
+    the row's set, so that the links of any two documents are those of their
+    sets, and documents of one set link too. ``n_links`` counts the other
+    documents that a document links with, however alike they are to each
+    other. Null keys, empty sets and repeated keys are as in
+    ``jaccard_components``: the former two have no set and no links, and a key
+    that repeats with different texts has a row, with its links, for each text, and
+    counts as often for others. No pair is left out, so the links of a group of near copies grow
+    with the square of its distinct sets; copies of one set add none.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
+    spark = df.sparkSession
+    work, width = Workspace(spark, "links"), shuffle_width(spark)
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    scanned, thin, usable, reps = _distinct_sets(rows, size, work)
+    # A key may be the least of several sets, so sets meet under a number of their own.
+    numbered = work.save(reps.select("k", "n", "a", "b", "parity", F.xxhash64("a", "b", "n").alias("set")), "numbered")
+    shared = _shared_prefixes(rows, reps, _levels(scanned), size, percent, width)
+    shared = work.save(shared, "shared")
+    meets = shared.join(numbered, "k").select("t", F.col("set").alias("k"), F.col("set").alias("component"), "n", "parity")
+    pairs = work.save(_candidates(meets, percent, width, whole=True), "pairs")
+    work.release()
+    keep = _passes(_filter(reps.select("k")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, s in _sets(batches, size, keep):
+            if len(s):
+                a, b = _prints(s)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (k, a, b, len(s))] + [pa.array([s.tobytes()], pa.binary())], names=["k", "a", "b", "n", "s"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            shared = np.array(both, np.int64)
+            total = batch.column("n").to_numpy()
+            link = 100 * shared >= percent * (total - shared)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(link)) for c in ("u", "v")], pa.array(shared[link])], names=["u", "v", "shared"])
+
+    whole = rows.mapInArrow(lean(sets), "k long, a long, b long, n long, s binary").join(numbered, ["k", "a", "b", "n"]).groupBy("set").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+    whole = work.save(whole, "whole")
+    x, y = (whole.select(F.col("set").alias(e), F.col("s").alias(c), F.col("n").alias(f"n{c}")) for e, c in (("u", "x"), ("v", "y")))
+    met = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
+    links = work.save(met.mapInArrow(lean(verify), "u long, v long, shared long"), "links")
+    work.drop("whole")
+    # Documents of each set, and of the sets that link with it.
+    members = usable.select("k", "a", "b", "n").distinct().join(numbered.select("a", "b", "n", "set", F.col("k").alias("set_id")), ["a", "b", "n"])
+    members = work.save(members.select("k", "a", "b", "n", "set", "set_id"), "members")
+    sizes = members.groupBy("set").agg(F.count(F.lit(1)).alias("c"))
+    both = links.select("u", "v").union(links.select("v", "u"))
+    near = both.join(sizes.withColumnRenamed("set", "v"), "v").groupBy(F.col("u").alias("set")).agg(F.sum("c").alias("near"))
+    counts = sizes.join(near, "set", "left").select("set", (F.col("c") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    own = members.join(counts, "set").select("k", "a", "b", "n", "set_id", "n_links")
+    kind = df.schema[key].dataType
+    out = thin.select("k", "a", "b", "n").join(own, ["k", "a", "b", "n"], "left")
+    out = out.select(F.col("k").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("set_id").cast(kind).alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = numbered.select("set", "k")
+    named = links.join(ids.select(F.col("set").alias("u"), F.col("k").alias("ku")), "u").join(ids.select(F.col("set").alias("v"), F.col("k").alias("kv")), "v")
+    named = named.select(F.least("ku", "kv").cast(kind).alias("u"), F.greatest("ku", "kv").cast(kind).alias("v"), "shared")
+    return named, out
+
+
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row.
 
@@ -392,12 +466,8 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     spark = df.sparkSession
     work, width = Workspace(spark, "similar"), shuffle_width(spark)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    scanned = work.save(_scan(rows, size), "scan")
-    thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2", "parity")
-    usable = thin.where("k is not null and n > 0")
+    scanned, thin, usable, reps = _distinct_sets(rows, size, work)
     levels = _levels(scanned)
-    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
-    reps = work.save(reps, "sets")
     equal = usable.join(reps.select("a", "b", "n", F.col("k").alias("u")), ["a", "b", "n"]).where("k <> u").select("u", F.col("k").alias("v"))
     links = work.save(equal, "equal")
     near = _near_links(rows, reps, size, percent, width)

@@ -106,3 +106,32 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200), (139, 300)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "u long, v long"), Workspace(spark, "t"), "c").collect())
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in [*range(100, 140), 300]}}
+
+
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (3, 60), (2, 100)])
+def test_every_link_is_an_output(spark, size, percent):
+    """Pairs within one component too: each verified link, and each document's number of them."""
+    data = [(r[0], r[1]) for r in corpus.rows(size)]
+    found = sets(data, size)
+    want = {}
+    for i in found:
+        for j in found:
+            shared = len(found[i] & found[j])
+            if i < j and found[i] and 100 * shared >= percent * len(found[i] | found[j]) and found[j]:
+                want[i, j] = shared
+    links, rows = similar.jaccard_links(corpus.frame(spark, corpus.rows(size)), size, percent)
+    rows = {r.doc_id: r for r in rows.collect()}
+    assert {i: (r.n_shingles, r.n_links) for i, r in rows.items()} == {i: (len(s), sum(i in p for p in want)) for i, s in found.items()}
+    assert {i: r.set_id for i, r in rows.items()} == {i: min(j for j in found if found[j] == s) if s else None for i, s in found.items()}
+    got = [tuple(r) for r in links.collect()]
+    assert sorted(got) == sorted((i, j, n) for (i, j), n in want.items() if rows[i].set_id == i and rows[j].set_id == j and found[i] != found[j])
+
+
+def test_links_of_nulls_repeats_and_empty_tables(spark):
+    data = [(None, "a b c d e", None, None, None), (3, "a b c d e", None, None, None), (3, "a b c d e", None, None, None), (1, "A b c d e", None, None, None), (7, "", None, None, None)]
+    df = corpus.frame(spark, data)
+    links, rows = similar.jaccard_links(df, 4, 85)
+    assert links.count() == 0
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == sorted([(None, 2, None, 0), (3, 2, 1, 1), (3, 2, 1, 1), (1, 2, 1, 1), (7, 0, None, 0)], key=str)
+    links, rows = similar.jaccard_links(df.limit(0), 4, 85)
+    assert links.count() == 0 and rows.count() == 0
