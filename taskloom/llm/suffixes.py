@@ -1,13 +1,14 @@
-"""Substring deduplication over prefix-partitioned suffix trees.
+"""Substring deduplication over prefix-partitioned suffixes.
 
 A suffix starts at every word that has at least ``size`` words from there to
 the end of its text. Counts of the suffixes' word prefixes, of 1, 2, 4, 8 and
-``size`` words, settle which prefix names a suffix's subtree: the shortest one
+``size`` words, settle which prefix names a suffix's group: the shortest one
 whose suffixes fit the memory set for a group. So frequent openings are split
-by longer prefixes, rare ones aren't. A subtree is built by sorting its
-suffixes by the label of their node at depth ``size``; only the nodes at that
-depth or deeper matter, and those with leaves in two documents are the
-repeats. Runs of repeated starts join to maximal repeats.
+by longer prefixes, rare ones aren't. No suffix tree is built: a group's
+suffixes are sorted by a hash of their first ``size`` words, and equal ones in
+two documents are the repeats. That is enough, since what is removed is the
+union of repeats of exactly ``size`` words; runs of repeated starts cover the
+longer ones.
 
 Labels are 64-bit hashes of the words; 56 bits are kept within a group, whose
 suffixes a prefix hash already tells apart from the others.
