@@ -1,4 +1,9 @@
-"""The engine's own queries: each runs one operator, through the engine's interface, on the driver's tables."""
+"""The engine's own queries on the driver's tables: most run one operator through the engine's interface.
+
+cache_ttl, cache_shards, event_counts, event_payload, event_parent, format_hint,
+canonical_set and resolver_chain are DataFrame expressions of the rules alone. They don't
+call the cache, the event log, the storage or the settings, which unit tests cover.
+"""
 
 from __future__ import annotations
 
