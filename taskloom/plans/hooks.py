@@ -130,7 +130,7 @@ class EventLog:
         state = current_session()
         row = (
             session_id or (state.id if state else None), metadata.id if metadata else None, metadata.parent_id if metadata else None, metadata.name if metadata else None,
-            metadata.map_index if metadata else None, event, attempt, duration, datetime.datetime.now(datetime.timezone.utc), {k: str(v)[:200] for k, v in data.items() if v is not None},
+            metadata.map_index if metadata else None, event, attempt, duration, datetime.datetime.now(datetime.timezone.utc), {k: str(v) for k, v in data.items() if v is not None},
         )
         with self._lock:
             self._rows.append(row)

@@ -199,3 +199,9 @@ def test_dataset_plugins(monkeypatch, tmp_path):
     assert store.load("z.cpx", complex) == 1 + 2j
     with pytest.raises(ValueError, match="available"):
         store.load("z.cpx", complex, "nope")
+
+
+def test_event_rows_keep_whole_values():
+    log, text = EventLog(), "long error " * 100
+    log._add("on_error", error=ValueError(text))
+    assert log.rows()[0][-1] == {"error": text}
