@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskloom.llm.queries import MIXTURE
+from taskloom.llm.queries import MIXTURE, TOPICS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -12,49 +12,54 @@ def _values(shares: dict[str, float]) -> str:
 
 
 def _op1() -> str:
-    """Raking in a recursive query: each step scales one margin after the other by window sums."""
+    """Raking in a recursive query, for all shares to keep at once: each step scales one margin after the other by window sums, then caps the cells."""
     m = MIXTURE
     named = {n: ", ".join(f"'{k}'" for k in s if k != "*") for n, s in m.targets.items()}
     cell = {n: f"CASE WHEN {n} IN ({named[n]}) THEN {n} ELSE '*' END" for n in m.targets}
+    # What a column's targets don't name keeps its share; a category without tokens leaves its share to the others.
     goals = "".join(
-        f", t_{n} AS (SELECT k, v / sum(v) OVER () AS v FROM (VALUES {_values(s)}) AS x(k, v) "
-        f"WHERE k IN (SELECT c_{n} FROM cells WHERE t > 0))"
+        f", h_{n} AS (SELECT c_{n} AS k, sum(t) / (SELECT sum(t) FROM cells) AS had FROM cells GROUP BY 1)"
+        f", o_{n} AS (SELECT {'0' if '*' in s else f"coalesce((SELECT had FROM h_{n} WHERE k = '*'), 0)"} AS rest)"
+        f", t_{n} AS (SELECT k, v / sum(v) OVER () * (1 - rest) AS v FROM (VALUES {_values(s)}) AS x(k, v), o_{n} WHERE k IN (SELECT k FROM h_{n} WHERE had > 0)"
+        f" UNION ALL SELECT '*', rest FROM o_{n} WHERE rest > 0)"
         for n, s in m.targets.items()
     )
-    scaled, last = [], "r"
+    inner = "r"
     for n in m.targets:
-        scaled.append(
-            f"(SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY c_{n}) > 0 THEN w * coalesce((SELECT v FROM t_{n} WHERE k = c_{n}), 0)"
-            f" / sum(w) OVER (PARTITION BY c_{n}) ELSE 0 END AS w) FROM {{}})"
+        inner = (
+            f"(SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY j, c_{n}) > 0 THEN w * coalesce((SELECT v FROM t_{n} WHERE k = c_{n}), 0)"
+            f" / sum(w) OVER (PARTITION BY j, c_{n}) ELSE 0 END AS w) FROM {inner})"
         )
-    inner = last
-    for s in scaled:
-        inner = s.format(inner)
+    miss = " UNION ALL ".join(f"SELECT j, abs(sum(w) - coalesce((SELECT v FROM t_{n} WHERE k = c_{n}), 0)) AS e FROM f GROUP BY j, c_{n}" for n in m.targets)
+    cs = ", ".join(f"c_{n}" for n in m.targets)
+    told = "'prose'"
+    for name, pattern in reversed(TOPICS.items()):
+        told = f"CASE WHEN regexp_matches(coalesce(text, ''), '{pattern}') THEN '{name}' ELSE {told} END"
     return rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, lang, CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS topic,
+  SELECT doc_id, source, lang, {told} AS topic,
     CAST(len({_WORDS}) AS BIGINT) AS n_tokens FROM documents),
 e AS (SELECT *, {", ".join(f"{c} AS c_{n}" for n, c in cell.items())} FROM d),
 cells AS (SELECT {", ".join(f"c_{n}" for n in m.targets)}, CAST(sum(n_tokens) AS DOUBLE) AS t FROM e GROUP BY ALL)
 {goals},
 r AS (
-  SELECT 0 AS i, *, t / (SELECT sum(t) FROM cells) AS w FROM cells
+  SELECT 0 AS i, j, {m.keep} * pow({m.fall}, j) AS keep, cells.*, t / (SELECT sum(t) FROM cells) AS w, 1.0::DOUBLE AS q FROM cells, range({m.tries}) AS x(j)
   UNION ALL
-  SELECT i + 1 AS i, * EXCLUDE (i) FROM {inner} WHERE i < {m.sweeps}),
+  SELECT i + 1, j, keep, {", ".join(f"c_{n}" for n in m.targets)}, t, least(w * q, cap), CASE WHEN least(w * q, cap) > 0 THEN w * q / least(w * q, cap) ELSE 1 END
+  FROM (SELECT *, t / (SELECT sum(t) FROM cells) / keep AS cap FROM {inner}) WHERE i < {m.sweeps}),
 f AS (SELECT *, CASE WHEN t > 0 THEN w * (SELECT sum(t) FROM cells) / t ELSE 0 END AS ratio FROM r WHERE i = {m.sweeps}),
--- Cells by falling ratio: the first ones are kept whole until the rest can make up the wanted tokens.
-o AS (SELECT *, coalesce(sum(t) OVER (ORDER BY ratio DESC, {", ".join(f"c_{n}" for n in m.targets)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
-  sum(ratio * t) OVER (ORDER BY ratio DESC, {", ".join(f"c_{n}" for n in m.targets)} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f WHERE ratio > 0),
-s AS (SELECT max(scale) AS scale FROM (SELECT ({m.keep} * (SELECT sum(t) FROM cells) - whole) / rest AS scale, ratio FROM o) WHERE scale * ratio <= 1),
-p AS (SELECT f.*, CASE WHEN ratio > 0 THEN least(1.0, ratio * coalesce((SELECT scale FROM s), 1e300)) ELSE 0 END AS p FROM f)
-SELECT doc_id, source, lang, topic, n_tokens, round(ratio, 6) AS weight, round(p, 6) AS probability
-FROM e JOIN p USING ({", ".join(f"c_{n}" for n in m.targets)})
-WHERE CAST(('0x' || md5('{m.seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12]) AS BIGINT) / {16**12}.0::DOUBLE < p
+g AS (SELECT j, max(e) AS e FROM ({miss}) GROUP BY j),
+b AS (SELECT coalesce((SELECT min(j) FROM g WHERE e <= {m.tolerance!r}), (SELECT arg_min(j, e) FROM g)) AS j),
+f2 AS (SELECT f.*, w * keep * (SELECT sum(t) FROM cells) AS want FROM f JOIN b USING (j)),
+-- How many tokens a cell gives up to each range of the draw; the nearest to what its weight calls for stands.
+u AS (SELECT *, CAST(('0x' || md5('{m.seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12]) AS BIGINT) / {16**12}.0::DOUBLE AS u FROM e),
+v AS (SELECT {cs}, CAST(floor(u * {m.bins}) AS BIGINT) + 1 AS k, CAST(sum(n_tokens) AS DOUBLE) AS n FROM u GROUP BY ALL),
+y AS (SELECT {cs}, k, sum(n) OVER (PARTITION BY {cs} ORDER BY k) AS got FROM v UNION ALL SELECT {cs}, 0, 0 FROM cells),
+p AS (SELECT {cs}, any_value(ratio) AS ratio, arg_min(k, struct_pack(a := abs(got - want), b := k)) / {m.bins}.0::DOUBLE AS p FROM y JOIN f2 USING ({cs}) GROUP BY {cs})
+SELECT doc_id, source, lang, topic, n_tokens, round(ratio, 6) AS weight, round(p, 6) AS probability FROM u JOIN p USING ({cs}) WHERE u < p
 """
 
 
-
-
 def _leads(count: int) -> str:
     """The words from here on, joined by spaces; null where there are fewer."""
     return " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER w" for j in range(1, count)]])

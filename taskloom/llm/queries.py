@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import bitslices, hmm, licences, mixing, pieces, quality, sharding, similar, sketches, suffixes
+from taskloom.llm._store import Workspace
 
 #: Production parameters of the mixture; what a target does not name is "*".
 MIXTURE = mixing.Mixture(
     targets={
         "source": {"src0": 0.2, "src1": 0.08, "src2": 0.08, "src3": 0.08, "*": 0.56},
         "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
-        "topic": {"table": 0.05, "prose": 0.95},
+        "topic": {"legal": 0.04, "table": 0.05, "contact": 0.03, "prose": 0.88},
     },
     keep=0.6,
 )
@@ -28,15 +29,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def topic(text) -> F.Column:
-    """A document's coarse topic: text laid out in table cells, or running prose."""
-    return F.when(F.coalesce(F.contains(text, F.lit(" | ")), F.lit(False)), F.lit("table")).otherwise(F.lit("prose"))
+#: Topics by what a text holds, the first that does; what holds none of it is prose.
+TOPICS = {
+    "table": r" \| ",
+    "legal": r"(?i)\b(licen[cs]ed?|copyright|all rights reserved)\b",
+    "contact": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]+|https?://",
+}
+
+
+def topic(text: F.Column) -> F.Column:
+    """A document's topic, told from its whole text; null and empty texts are prose."""
+    text, found = F.coalesce(text, F.lit("")), F.lit("prose")
+    for name, pattern in reversed(TOPICS.items()):
+        found = F.when(F.regexp_like(text, F.lit(pattern)), F.lit(name)).otherwise(found)
+    return found
 
 
 def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("topic", topic(F.col("text")))
-    docs = docs.withColumn("n_tokens", mixing.word_count(F.col("text")))
-    kept = mixing.sample(docs, MIXTURE, F.col("n_tokens"))
+    docs = documents(spark, sf_dir)
+    # Words and topics are told once and written: the raking needs them of all rows, and so does the draw.
+    told = docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), mixing.word_count(F.col("text")).alias("n_tokens"))
+    told = Workspace(spark, "mixture").save(told, "told")
+    kept = mixing.sample(told, MIXTURE, F.col("n_tokens"))
     return kept.select(
         "doc_id",
         "source",
