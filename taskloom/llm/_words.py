@@ -157,6 +157,77 @@ def words_of(column: pa.Array, lower: bool = True, tails: bool = False) -> Itera
         i = j
 
 
+@dataclass
+class Spans:
+    """Words of consecutive texts by where they lie in a buffer, with their hashes; edges as in Words."""
+
+    first: int
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    edges: np.ndarray
+    hashes: np.ndarray
+
+
+def spans_of(column: pa.Array, lower: bool = False) -> Iterator[Spans]:
+    """As ``words_of``, with the places of the words."""
+    raw, offsets = buffers(column)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1
+        j = min(max(j, i + 1), n)
+        piece, edges = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        piece = _LOWER[piece] if lower else piece
+        parts, at = [], 0
+        while at < len(piece) or not parts:
+            end = min(at + CHUNK_BYTES, len(piece)) if len(edges) == 2 else len(piece)
+            while end < len(piece) and not _SEPARATOR[piece[end]]:
+                end += 1
+            own = piece[at:end]
+            starts, ends = _spans(own, edges if len(edges) > 2 else np.array([0, len(own)]))
+            parts.append((starts + at, ends + at, _hashes(own, starts, ends)))
+            at = end
+            if at >= len(piece):
+                break
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield Spans(i, piece, starts, ends, np.searchsorted(starts, edges), hashes)
+        i = j
+
+
+def cut_out(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of spans as a binary column."""
+    size = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    flat = raw[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different span, which of them each span is), by their bytes and not only by hashes."""
+    size = ends - starts
+    _, first, which = np.unique(_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    model = first[which]
+    same = size == size[model]
+    # Among spans of one size, the hash of up to eight bytes has them all; longer ones are compared by eights.
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        eights = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+        at = 0
+        while len(long):
+            mask = _MASKS[np.minimum(size[long] - at, 8)]
+            equal = (eights[starts[long] + at] & mask) == (eights[starts[model[long]] + at] & mask)
+            same[long[~equal]] = False
+            at += 8
+            long = long[equal & (size[long] > at)]
+    for i in np.flatnonzero(~same).tolist():
+        # Spans whose hash another one has: each stands for itself.
+        which[i] = len(first)
+        first = np.append(first, i)
+    return first, which
+
+
 def windows(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hash of each run of ``size`` consecutive words; empty if there are fewer."""
     n = len(hashes) - size + 1
