@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -22,6 +23,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeeze(blob: bytes) -> bytes:
+    """Compressed harder than a shuffle does by itself; its size goes before it."""
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(blob, asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 _TYPES = {np.dtype(t).num: t for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int8, np.int16, np.int32, np.int64, np.float32, np.float64)}
 
 

@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,14 @@ class Workspace:
     def release(self) -> None:
         """Has Spark's cleaner delete the shuffle files of steps whose results are written now, not at its next half-hourly round.
 
-        It finds them when the driver collects garbage; Spark's setting that cleans up as a
+        It finds them when the driver collects garbage, for which Python has to let
+        go of them first; Spark's setting that cleans up as a
         query ends leaves out queries that write a table.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""

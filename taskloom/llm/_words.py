@@ -169,12 +169,12 @@ class Spans:
     hashes: np.ndarray
 
 
-def spans_of(column: pa.Array, lower: bool = False) -> Iterator[Spans]:
-    """As ``words_of``, with the places of the words."""
+def spans_of(column: pa.Array, lower: bool = False, together: int = CHUNK_BYTES) -> Iterator[Spans]:
+    """As ``words_of``, with the places of the words, in groups of about so many bytes."""
     raw, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + together, "right")) - 1
         j = min(max(j, i + 1), n)
         piece, edges = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         piece = _LOWER[piece] if lower else piece

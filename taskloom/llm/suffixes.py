@@ -39,7 +39,7 @@ from taskloom.llm._store import Workspace, shuffle_width
 from taskloom.llm.subtrees import Subtree
 
 #: Labels that a task holds on average, suffixes of a group of subtrees, and bytes of text that are cut together.
-GROUP_SUFFIXES, TREE_SUFFIXES, GROUP_BYTES = 1 << 19, 1 << 18, 8 << 20
+GROUP_SUFFIXES, TREE_SUFFIXES, GROUP_BYTES = 1 << 19, 1 << 19, 16 << 20
 #: Suffixes of one window beyond which it is resolved by aggregation; suffixes that a task holds before it sends them.
 HEAVY, HELD = 1 << 22, 1 << 19
 #: Slots of a table of prefix counts, at least and at most.
@@ -283,7 +283,7 @@ def _spelled(plan: _Plan, groups: int, spans: _words.Spans, at: np.ndarray, doc:
         local, rows = np.unique(rows, return_inverse=True)
         words = spelling.take(pa.array(local))
         raw, edges = _words.buffers(words)
-        yield g, _blobs.pack(raw, _blobs.small(np.diff(edges)), _blobs.small(rows.ravel()), *_places(doc[own], position[own]))
+        yield g, _blobs.squeeze(_blobs.pack(raw, _blobs.small(np.diff(edges)), _blobs.small(rows.ravel()), *_places(doc[own], position[own])))
 
 
 def _suffixes(shared: DataFrame, dealt: DataFrame, key: str, text: str, plan: _Plan, groups: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _suffixes(shared: DataFrame, dealt: DataFrame, key: str, text: str, plan: _P
         rows = rows.filter(pc.is_in(rows.column(key).cast(pa.int64()), pa.array(np.unique(doc)))).combine_chunks()
         if len(rows):
             keys, texts = rows.column(key).to_numpy().astype(np.int64), rows.column(text).combine_chunks()
-            for spans in _words.spans_of(texts):
+            for spans in _words.spans_of(texts, together=2 * GROUP_BYTES):
                 at, own, place = [], [], []
                 for i, (a, b) in enumerate(zip(spans.edges[:-1].tolist(), spans.edges[1:].tolist(), strict=True), spans.first):
                     x, y = np.searchsorted(doc, [keys[i], keys[i] + 1])
@@ -332,7 +332,7 @@ def _repeats(parts: DataFrame, size: int, buckets: int) -> DataFrame:
     """(bucket of documents, packed places) of suffixes whose window a smaller document has as well."""
 
     def tree(table: pa.Table) -> pa.Table:
-        blobs = [_blobs.unpack(b) for b in table.column("b").to_pylist()]
+        blobs = [_blobs.unpack(_blobs.unsqueeze(b)) for b in table.column("b").to_pylist()]
         doc, position = (np.concatenate(c) for c in zip(*[_unplaced(*b[3:]) for b in blobs], strict=True))
         grown = Subtree(_numbered(blobs, size))
         by = doc[grown.order]

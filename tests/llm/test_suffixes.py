@@ -52,7 +52,7 @@ def test_windows_are_compared_by_words():
         doc = np.array([data[g.first + i][0] for i in of.tolist()])
         order = np.lexsort((position, doc))
         rows += [b for _, b in suffixes._spelled(plan, 1, g, at[order], doc[order], position[order])]
-    blobs = [_blobs.unpack(b) for b in rows]
+    blobs = [_blobs.unpack(_blobs.unsqueeze(b)) for b in rows]
     tree = Subtree(suffixes._numbered(blobs, 13))
     doc, position = (np.concatenate(c) for c in zip(*[suffixes._unplaced(*b[3:]) for b in blobs]))
     words = {i: corpus.words(t) for i, t in data}
