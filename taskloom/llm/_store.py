@@ -48,7 +48,8 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # Rows may hold packed records of megabytes: pages are checked for their size at every row, not only each hundred.
+        df.write.mode("overwrite").option("parquet.page.size.row.check.min", "1").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -38,9 +38,11 @@ from taskloom.llm._store import Workspace, shuffle_width
 FREQUENT, RARE = 64_000, 1024
 END = FREQUENT + RARE
 #: Occurrences from which a word has emissions of its own; words joined in one task; tokens of a chunk, and of what one recursion holds.
-LEAST, TASK_WORDS, HELD, WAVE = 5, 1 << 20, 1 << 20, 1 << 19
+LEAST, TASK_WORDS, HELD, WAVE = 5, 1 << 20, 1 << 18, 1 << 20
 #: Tokens from which on a text's recursions go piece by piece, and those of a piece.
 LONG, PIECE = 1 << 18, 1 << 14
+#: Slots, at most, of the filter that tells words with emissions of their own.
+FILTER = 1 << 26
 _END_HASH = np.uint64(0x656E642D6F66)
 
 
@@ -99,13 +101,22 @@ def _flat(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _waves(lengths: np.ndarray, tokens: int) -> Iterator[np.ndarray]:
-    """Sequences that aren't empty by falling length, in groups whose recursion has about so many tokens."""
+    """Sequences that aren't empty by falling length, in groups of about so many tokens."""
     order = np.argsort(-lengths, kind="stable")[: int((lengths > 0).sum())]
+    ends = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        n = max(1, tokens // max(1, int(lengths[order[at]])))
-        yield order[at : at + n]
-        at += n
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens, "right")))
+        yield order[at:end]
+        at = end
+
+
+def _steps(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all tokens step by step, where each step begins) of sequences by falling length: the first tokens of all, then the second ones of those that have one."""
+    live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
+    edge = np.concatenate(([0], np.cumsum(live)))
+    column = np.arange(edge[-1]) - np.repeat(edge[:-1], live)
+    return begin[column] + np.repeat(np.arange(len(live)), live), edge
 
 
 def _relative(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +129,24 @@ def forward(model: Model, sequences: list[np.ndarray], emit: np.ndarray | None =
     """Natural log likelihood of each sequence of rows of ``emit``, the model's classes if not given, by the scaled recursion."""
     rows, top = _relative(model.emit if emit is None else emit)
     flat, lengths, begin = _flat(sequences)
-    out = np.add.reduceat(np.append(top[flat], 0.0), np.minimum(begin, len(flat))) * (lengths > 0) if len(flat) else np.zeros(len(lengths))
-    for wave in _waves(lengths, 4 * WAVE):
-        n = lengths[wave]
-        steps = int(n[0])
-        live = np.searchsorted(-n, -np.arange(1, steps + 1), "right")
-        at = begin[wave]
-        alpha = model.start[None] * rows[flat[at]]
-        total = np.zeros(len(wave))
-        for t in range(steps):
-            k = int(live[t])
+    out, one = np.zeros(len(sequences)), np.ones(len(model.start))
+    for wave in _waves(lengths, WAVE):
+        place, edge = _steps(begin[wave], lengths[wave])
+        tokens = flat[place]
+        seen, scale = rows[tokens], np.empty(len(tokens))
+        edges = edge.tolist()
+        alpha = model.start[None] * seen[: edges[1]]
+        for t in range(len(edges) - 1):
+            a, b = edges[t], edges[t + 1]
             if t:
-                alpha = (alpha[:k] @ model.move) * rows[flat[at[:k] + t]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            total[:k] += np.log(scale)
-        out[wave] += total
+                alpha = alpha[: b - a] @ model.move
+                alpha *= seen[a:b]
+            s = alpha @ one
+            scale[a:b] = s
+            alpha /= s[:, None]
+        total = np.log(scale) + top[tokens]
+        column = np.arange(len(tokens)) - np.repeat(edge[:-1], np.diff(edge))
+        out[wave] = np.bincount(column, total, len(wave))
     return out
 
 
@@ -162,7 +175,7 @@ def posteriors(model: Model, sequences: list[np.ndarray], counts: Expected) -> I
     ordinary = np.where(lengths <= LONG, lengths, 0)
     for wave in _waves(ordinary, WAVE):
         n = lengths[wave]
-        inner = _recursion(emit, move, flat, begin[wave], n, np.repeat(model.start[None], len(wave), axis=0), None, None)
+        inner = _recursion(emit, move, flat, begin[wave], n, model.start.astype(np.float32)[None], None, None)
         counts.starts += inner[2]
         counts.moves += inner[1] * model.move
         counts.loglik += inner[3]
@@ -180,7 +193,7 @@ def posteriors(model: Model, sequences: list[np.ndarray], counts: Expected) -> I
         after = None
         for c, old in reversed(list(zip(cuts, before, strict=False))):
             n = np.array([min(PIECE, int(lengths[i]) - c)])
-            inner = _recursion(emit, move, flat, begin[i : i + 1] + c, n, (model.start if not c else old @ model.move)[None], None if not c else old, after)
+            inner = _recursion(emit, move, flat, begin[i : i + 1] + c, n, (model.start if not c else old @ model.move).astype(np.float32)[None], None if not c else old, after)
             after = inner[4]
             counts.moves += inner[1] * model.move
             counts.loglik += inner[3]
@@ -195,32 +208,44 @@ def _recursion(emit: np.ndarray, move: np.ndarray, flat: np.ndarray, at: np.ndar
     Of sequences by falling length n that begin at places ``at``, from the state probabilities ``first`` of
     their first tokens. Of one piece of a longer sequence: ``old`` has the states before it, ``after`` the beta behind it.
     """
-    k, steps = move.shape[0], int(n[0])
-    live = np.searchsorted(-n, -np.arange(1, steps + 1), "right")
-    grid = np.minimum(at[None] + np.arange(steps)[:, None], len(flat) - 1)
-    seen = emit[flat[grid]]
-    alpha, scale = np.zeros_like(seen), np.ones(seen.shape[:2], np.float32)
-    for t in range(steps):
-        m = int(live[t])
-        a = (alpha[t - 1, :m] @ move if t else first.astype(np.float32)) * seen[t, :m]
-        s = a.sum(axis=1)
-        np.divide(a, s[:, None], out=alpha[t, :m])
-        scale[t, :m] = s
-    beta, onward = np.ones_like(seen), np.zeros_like(seen)
+    k = move.shape[0]
+    place, edge = _steps(at, n)
+    seen = emit[flat[place]]
+    edges, back = edge.tolist(), np.ascontiguousarray(move.T)
+    alpha, scale, one = np.empty_like(seen), np.empty(len(place), np.float32), np.ones(k, np.float32)
+    before = None
+    for t in range(len(edges) - 1):
+        a, b = edges[t], edges[t + 1]
+        now = alpha[a:b]
+        if before is None:
+            np.multiply(first, seen[a:b], out=now)
+        else:
+            np.matmul(before[: b - a], move, out=now)
+            now *= seen[a:b]
+        s = now @ one
+        scale[a:b] = s
+        now /= s[:, None]
+        before = now
+    # From here on seen is beta times emission by scale, and then the posterior.
+    seen /= scale[:, None]
+    beta = np.ones((edges[-1] - edges[-2], k), np.float32)
     if after is not None:
-        beta[-1, 0] = after / (alpha[-1, 0] @ after)
-    for t in range(steps - 2, -1, -1):
-        m = int(live[t + 1])
-        np.divide(beta[t + 1, :m] * seen[t + 1, :m], scale[t + 1, :m, None], out=onward[t + 1, :m])
-        beta[t, :m] = onward[t + 1, :m] @ move.T
-    moves = (alpha[:-1].reshape(-1, k).T @ onward[1:].reshape(-1, k)).astype(np.float64)
-    start = beta[0] * seen[0] / scale[0][:, None]
+        beta[0] = after / (alpha[-1] @ after)
+    moves = np.zeros((k, k))
+    for t in range(len(edges) - 2, 0, -1):
+        a, b, c = edges[t - 1], edges[t], edges[t + 1]
+        onward = seen[b:c]
+        onward *= beta
+        moves += alpha[a : a + c - b].T @ onward
+        alpha[b:c] *= beta
+        beta = np.ones((b - a, k), np.float32)
+        np.matmul(onward, back, out=beta[: c - b])
+    start = seen[: edges[1]] * beta
+    alpha[: edges[1]] *= beta
     if old is not None:
         moves += np.outer(old, start[0])
-    inside = np.arange(len(n))[None] < live[:, None]
-    gamma = (alpha * beta)[inside]
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    return (grid[inside], gamma), moves, (alpha[0] * beta[0]).sum(axis=0).astype(np.float64), float(np.log(scale.astype(np.float64)).sum()), start[0] @ move.T
+    alpha /= (alpha @ one)[:, None]
+    return (place, alpha), moves, alpha[: edges[1]].sum(axis=0).astype(np.float64), float(np.log(scale, dtype=np.float64).sum()), start[0] @ back
 
 
 def _by_class(kinds: np.ndarray, gamma: np.ndarray, size: int) -> np.ndarray:
@@ -306,7 +331,7 @@ def _chunks(rows: DataFrame, frequent: Frequent) -> DataFrame:
             lengths = np.array([len(r[1]) for r in rows_], np.uint32)
             classes = np.concatenate([r[1] for r in rows_])
             words, which = np.unique(np.concatenate([r[2] for r in rows_]), return_inverse=True)
-            blob = _blobs.pack(keys, null, lengths, classes.astype(np.uint16), words, _blobs.small(which))
+            blob = _blobs.squeeze(_blobs.pack(keys, null, lengths, classes.astype(np.uint16), words, _blobs.small(which)))
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([kind]), pa.array([len(classes)]), pa.array([blob], pa.binary())], names=["g", "held", "n", "b"])
 
         for batch in batches:
@@ -328,16 +353,57 @@ def _chunks(rows: DataFrame, frequent: Frequent) -> DataFrame:
 
 def _texts(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """(sequences of classes, all classes one after the other, the other packed columns)."""
-    keys, null, lengths, classes, words, which = _blobs.unpack(blob)
+    keys, null, lengths, classes, words, which = _blobs.unpack(_blobs.unsqueeze(blob))
     ends = np.cumsum(lengths.astype(np.int64))
     flat = classes.astype(np.int64)
     return [flat[b - int(n) : b] for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)], flat, [keys, null, lengths, words, which.astype(np.int64)]
 
 
-def _round(chunks: DataFrame, model: Model, words: int | None = None) -> DataFrame:
+class Filter:
+    """Slots that some words fall into, of bounded number; words that share one by chance pass, too."""
+
+    def __init__(self, words: DataFrame):
+        many = words.count()
+        self.bits = min(FILTER, max(1 << 12, 1 << (16 * many).bit_length()))
+        bits = self.bits
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = _slot(batch.column("h").to_numpy().view(np.uint64), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(slot & 63)], names=["w", "s"])
+
+        found = words.select("h").mapInArrow(lean(work), "w long, s long").groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(s as int))")).alias("b")).toArrow()
+        self.map = np.zeros(bits // 64, np.int64)
+        self.map[found.column("w").to_numpy()] = found.column("b").to_numpy()
+
+    def passes(self, words: np.ndarray) -> np.ndarray:
+        slot = _slot(words, self.bits)
+        return (self.map[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _slot(words: np.ndarray, bits: int) -> np.ndarray:
+    return (_words.mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Packed chunks, as many at a time as a recursion holds."""
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for blob, n in zip(batch.column("b").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            held.append(blob)
+            size += n
+            if size >= WAVE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _round(chunks: DataFrame, model: Model, words: int | None = None, own: Filter | None = None) -> DataFrame:
     """One expectation step over all training texts: rows (k, s0, ...) of sums by class, and below 0 moves, starts and the log likelihood.
 
-    With ``words``, also rows (k, b) of packed sums by word, for words that aren't frequent, in so many buckets k.
+    With ``words``, also rows (k, b) of packed sums by word, for words that pass ``own``, in so many buckets k.
     """
     k = len(model.start)
     columns = [f"s{j}" for j in range(k)]
@@ -351,23 +417,33 @@ def _round(chunks: DataFrame, model: Model, words: int | None = None) -> DataFra
             rows = [(g, _blobs.pack(held[0][order[a:b]], held[1][order[a:b]].ravel())) for g, a, b in parts]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *[pa.nulls(len(rows), pa.float64())] * k], names=["k", "b", *columns])
 
-        for batch in batches:
-            for blob in batch.column("b").to_pylist():
-                sequences, flat, (_, _, _, names, which) = _texts(blob)
-                own = np.zeros((len(names), k)) if words else None
+        for blobs in _together(batches):
+            parts = [_texts(b) for b in blobs]
+            sequences = [s for p in parts for s in p[0]]
+            flat = np.concatenate([p[1] for p in parts])
+            if words:
+                # Tokens that aren't frequent words, and which of these chunks' words they are; -1 where it isn't counted.
+                names, which = np.unique(np.concatenate([p[2][3] for p in parts]), return_inverse=True)
+                base = np.cumsum([0, *[len(p[2][3]) for p in parts]])
                 rare = np.full(len(flat), -1)
-                rare[np.flatnonzero((flat >= FREQUENT) & (flat < END))] = which
-                for at, gamma in posteriors(model, sequences, counts):
-                    classes += _by_class(flat[at], gamma, END + 1)
-                    if words:
-                        some = rare[at] >= 0
-                        own += _by_class(rare[at][some], gamma[some], len(names))
+                rare[(flat >= FREQUENT) & (flat < END)] = np.concatenate([which[base[i] + p[2][4]] for i, p in enumerate(parts)])
+                counted = own.passes(names)
+                number = np.where(counted, np.cumsum(counted) - 1, -1)
+                rare[rare >= 0] = number[rare[rare >= 0]]
+                names = names[counted]
+                total = np.zeros((len(names), k))
+            for at, gamma in posteriors(model, sequences, counts):
+                classes += _by_class(flat[at], gamma, END + 1)
                 if words and len(names):
-                    both, which = np.unique(np.concatenate((held[0], names)), return_inverse=True)
-                    held = both, _by_class(which, np.concatenate((held[1], own.astype(np.float32))), len(both)).astype(np.float32)
-                    if len(both) >= TASK_WORDS:
-                        yield sums()
-                        held = (np.zeros(0, np.uint64), np.zeros((0, k), np.float32))
+                    some = rare[at]
+                    hit = some >= 0
+                    total += _by_class(some[hit], gamma[hit], len(names))
+            if words and len(names):
+                both, which = np.unique(np.concatenate((held[0], names)), return_inverse=True)
+                held = both, _by_class(which, np.concatenate((held[1], total.astype(np.float32))), len(both)).astype(np.float32)
+                if len(both) >= TASK_WORDS:
+                    yield sums()
+                    held = (np.zeros(0, np.uint64), np.zeros((0, k), np.float32))
         if words:
             yield sums()
         live = np.flatnonzero(classes.any(axis=1))
@@ -375,7 +451,7 @@ def _round(chunks: DataFrame, model: Model, words: int | None = None) -> DataFra
         values = np.concatenate((classes[live], counts.moves, counts.starts[None], np.full((1, k), counts.loglik)))
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.nulls(len(number), pa.binary()), *[pa.array(values[:, j]) for j in range(k)]], names=["k", "b", *columns])
 
-    return chunks.where("not held").select("b").mapInArrow(lean(work), "k long, b binary, " + ", ".join(f"{c} double" for c in columns))
+    return chunks.where("not held").select("n", "b").mapInArrow(lean(work), "k long, b binary, " + ", ".join(f"{c} double" for c in columns))
 
 
 def _summed(step: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -407,7 +483,7 @@ def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray, float], mass: np.
     return Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(chunks: DataFrame, mass: np.ndarray, settings: Settings, tokens: int, words: int, work: Workspace) -> tuple[Model, np.ndarray | None, DataFrame | None, list[float]]:
+def train(chunks: DataFrame, mass: np.ndarray, settings: Settings, tokens: int, words: int, own: Filter, work: Workspace) -> tuple[Model, np.ndarray | None, DataFrame | None, list[float]]:
     """(model, its last counts by class, table (k, b) of counts by word, log likelihood by round) of Baum-Welch over all whole texts.
 
     The last round, the one after a round that gained too little or the one that the settings allow last, also counts words.
@@ -415,11 +491,12 @@ def train(chunks: DataFrame, mass: np.ndarray, settings: Settings, tokens: int,
     model, path, classes = first_model(mass, settings), [], None
     for n in range(settings.rounds):
         last = n == settings.rounds - 1 or (len(path) > 1 and path[-1] - path[-2] < settings.gain * max(tokens, 1))
-        step = _round(chunks, model, words if last else None)
+        step = _round(chunks, model, words if last else None, own)
         step = work.save(step, "round") if last else step
         counts = _summed(step, settings.states)
         if not counts[0].any():
             return model, None, None, path
+        work.release()
         path.append(counts[3])
         model, classes = improved(counts, mass, settings), counts[0]
         if last:
@@ -509,7 +586,7 @@ def _answers(chunks: DataFrame, words: DataFrame, emissions: Emissions, tasks: i
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, blob in zip(batch.column("g").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                names = _blobs.unpack(blob)[4]
+                names = _blobs.unpack(_blobs.unsqueeze(blob))[4]
                 salt = np.zeros(len(names), np.uint64)
                 if len(hot[0]):
                     at = np.minimum(np.searchsorted(hot[0], names), len(hot[0]) - 1)
@@ -630,9 +707,10 @@ def fit(rows: DataFrame, settings: Settings, work: Workspace) -> Fitted:
     chunks = work.save(_chunks(rows, frequent), "chunks")
     work.release()
     tasks = max(shuffle_width(rows.sparkSession), -(-(total - int(frequent.counts.sum())) // TASK_WORDS))
-    model, classes, sums, path = train(chunks, mass, settings, total, tasks, work)
-    others = counts.where(F.col("h") != int(_END_HASH))
-    words = work.save(_without(_words_table(sums, others, settings.states), frequent), "words")
+    others = _without(counts.where(F.col("h") != int(_END_HASH)), frequent)
+    own = Filter(others.where(F.col("c") >= LEAST))
+    model, classes, sums, path = train(chunks, mass, settings, total, tasks, own, work)
+    words = work.save(_words_table(sums, others, settings.states), "words")
     del sums
     work.drop("round")
     work.release()
