@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taskloom import scope
 from taskloom.errors import TaskError
@@ -89,13 +90,24 @@ def gather_actions(*actions: Callable[[], Any]) -> list[Any]:
     return asyncio.run(run())
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir() and folder:
+        context.setCheckpointDir(folder)
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return df.persist()
+
+
 def indexed(df: DataFrame, *order: str | Column, bucket_rows: int = 100_000) -> DataFrame:
     """Adds ``map_index`` (from 0) in the order of the given keys, without a sort by one task.
 
     Rows are dealt out by ranges of the keys and numbered within their range;
     counts of the ranges before give the rest. The keys should tell rows apart.
-    Ranges are settled once: the dealt rows are checkpointed, or persisted
-    where no checkpoint folder is set.
+    Ranges are settled once: the dealt rows are checkpointed in the shared
+    folder, or persisted on a local master without one.
     """
     ordered = df.withColumn("__key", F.struct(*order))
     total = df.count()
@@ -103,12 +115,12 @@ def indexed(df: DataFrame, *order: str | Column, bucket_rows: int = 100_000) ->
     if parts == 1:
         return ordered.withColumn(INDEX, F.row_number().over(Window.orderBy("__key")).cast("long") - 1).drop("__key")
     ranged = ordered.repartitionByRange(parts, "__key").withColumn("__part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = _settled(ranged)
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("__part").alias("__of"), F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     numbered = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
-    # One row for each range: its size is bounded by the number of ranges.
-    placed = numbered.join(F.broadcast(before), F.col("__part") == F.col("__of"))
+    # One row for each range; Spark broadcasts them where they are few enough.
+    placed = numbered.join(before, F.col("__part") == F.col("__of"))
     return placed.withColumn(INDEX, F.col("__row").cast("long") - 1 + F.col("__before")).drop("__key", "__part", "__row", "__of", "__before")
 
 
@@ -140,8 +152,6 @@ def map_or_first_error(task: Any, df: DataFrame, *columns: str, result: str = "r
         except Exception as e:
             return None, str(e)
 
-    from pyspark.sql import types as T
-
     both = T.StructType([T.StructField("ok", kind), T.StructField("err", T.StringType())])
     tried = df.withColumn("__tried", F.udf(caught, both, useArrow=True)(*[F.col(c) for c in columns])).persist()
     failed = first_error(tried, F.col("__tried.err")).first()
@@ -169,6 +179,22 @@ def flat_map(task: Any, df: DataFrame, *columns: str | Column, value: str = "val
     return made.select(*kept, explode("__items").alias("iter_index", value))
 
 
+def table_function(task: Any, result: str = "value") -> Any:
+    """A Spark table function of a stream task: a row for each item, sent as the stream gives it, for ``lateralJoin`` or SQL."""
+    task = _as_task(task)
+    if not task.is_generator or task.is_async:
+        raise TypeError(f"{task.base_name} is no stream")
+    items = task.result_type()
+    run = task.func
+
+    class Rows:
+        def eval(self, *args: Any) -> Any:
+            for item in run(*args):
+                yield (item,)
+
+    return F.udtf(Rows, returnType=T.StructType([T.StructField(result, items.elementType)]))
+
+
 def chain(*tasks: Callable) -> Callable:
     """One after the other, each on the result of the one before."""
 

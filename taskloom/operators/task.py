@@ -138,17 +138,20 @@ class Task:
             return None
 
     def _limited(self, run: Callable[[], Any], name: str) -> Any:
-        """Runs within the time limit; on its passing, the Spark jobs that the run has started are cancelled."""
+        """Runs within the time limit; on its passing, the Spark jobs that the run has started are cancelled, and what it still returns is written nowhere."""
         if self.timeout is None:
             return run()
         spark, tag, done = SparkSession.getActiveSession(), f"taskloom-limit-{scope.new_id()}", threading.Event()
         out: list[tuple[bool, Any]] = []
 
+        expired = threading.Event()
+
         def work() -> None:
             try:
                 if spark is not None:
                     spark.sparkContext.addJobTag(tag)
-                out.append((True, run()))
+                with scope.in_limit(expired):
+                    out.append((True, run()))
             except BaseException as e:
                 out.append((False, e))
             finally:
@@ -156,6 +159,7 @@ class Task:
 
         threading.Thread(target=contextvars.copy_context().run, args=(work,), daemon=True).start()
         if not done.wait(self.timeout):
+            expired.set()
             if spark is not None:
                 spark.sparkContext.cancelJobsWithTag(tag)
             raise TaskTimeout(f"{name} ran longer than {self.timeout} s")
@@ -166,12 +170,16 @@ class Task:
 
     def _materialised(self, value: Any, key: str | None, store: Any, metadata: scope.TaskMetadata) -> Any:
         """Inside an attempt: what must be written is written, and read again from there."""
+        if not scope.still_wanted():
+            raise TaskTimeout(f"{metadata.name} ran longer than {self.timeout} s")
         if key is not None and store is not None:
             value = store.put(key, value, self.cache_ttl)
         elif isinstance(value, DataFrame) and (self.retries or self.timeout is not None):
             value = value.persist()
+            if state := scope.current_session():
+                state.held.append(value)
             value.count()
-        if self.dataset:
+        if self.dataset and scope.still_wanted():
             values = {**metadata.inputs, **({"map_index": metadata.map_index} if metadata.map_index is not None else {})}
             from taskloom.operators.compose import save_dataset
 

@@ -46,7 +46,7 @@ def distributed(func: Callable, calls: list[tuple]) -> list[tuple[BaseException
     """One Spark job over all elements; results, errors and events come back with their index."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     rows = [(i, bytearray(cloudpickle.dumps(args))) for i, args in enumerate(calls)]
-    width = max(1, min(len(rows), spark.sparkContext.defaultParallelism))
+    width = max(1, min(len(rows), settings().max_partitions or spark.sparkContext.defaultParallelism))
 
     state, inside, own = current_session(), current_task(), hooks()
     given = state.settings if state else settings()

@@ -13,11 +13,13 @@ import json
 import pickle
 import re
 import time
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taskloom.errors import Uncacheable
 from taskloom.sources.storage import Storage
@@ -110,21 +112,33 @@ def frame_key(df: DataFrame) -> str:
         spark.conf.set(limit, before)
     if _has_python(analyzed) or re.search(r"(Map|FlatMap|CoGroup)\w*In(Pandas|Arrow)|PythonUDTF", tree):
         raise Uncacheable("the plan has Python functions, whose code it doesn't show")
-    files = []
-    for uri in sorted(df.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        files.append((uri, status.getLen(), status.getModificationTime()))
-    if not files:
-        raise Uncacheable("the plan reads no files")
+    files = _files(spark, analyzed)
     return hashlib.sha256(repr((_VERSION, text, df.schema.json(), files)).encode()).hexdigest()
 
 
+def _files(spark: SparkSession, plan: Any) -> tuple:
+    """A digest of the names, sizes and times of all files below a plan's tables; executors list and hash them."""
+    roots = set()
+    for leaf in _leaves(plan):
+        try:
+            paths = leaf.relation().location().rootPaths() if leaf.getClass().getSimpleName() == "LogicalRelation" else leaf.tableMeta().location()
+        except Exception as e:
+            raise Uncacheable("the plan reads no files") from e
+        roots |= {str(paths.apply(i)) for i in range(paths.size())} if hasattr(paths, "size") else {str(paths)}
+    if not roots:
+        raise Uncacheable("the plan reads no files")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(roots)).select("path", "length", "modificationTime")
+    hashes = [F.xxhash64(F.lit(seed), "path", "length", "modificationTime") for seed in (1, 2)]
+    found = listed.agg(F.count(F.lit(1)), F.bit_xor(hashes[0]), F.sum(hashes[1].cast("decimal(38,0)"))).first()
+    return (sorted(roots), *[str(v) for v in found])
+
+
 class CacheStore:
     """Results below a base path, in folders by the first two digits of the key.
 
-    The data are written first and the sidecar last: without a sidecar there
-    is no entry. DataFrames are kept as Parquet, other values pickled.
+    The data are written first, under a name of their own, and the sidecar
+    that names them is moved into place last: until then the entry before is
+    whole, and its data go only afterwards. DataFrames are kept as Parquet, other values pickled.
     """
 
     def __init__(self, base: str | Storage = ".cache", clock: Callable[[], float] = time.time):
@@ -137,49 +151,68 @@ class CacheStore:
             raise ValueError(f"a cache key is at least three hexadecimal digits, not {key!r}")
         return f"{key[:2]}/{key[2:]}"
 
-    def get(self, key: str) -> Any:
-        """The value, or MISS if it is absent, expired or unreadable."""
-        at = self._place(key)
+    def _meta(self, at: str) -> dict | None:
         try:
             meta = json.loads(self.storage.load(f"{at}.meta.json"))
-            stamp, ttl, kind = meta["timestamp"], meta["ttl"], meta["kind"]
+            return meta if {"timestamp", "ttl", "kind", "data"} <= set(meta) else None
         except (KeyError, ValueError, OSError, TypeError):
+            return None
+
+    def get(self, key: str) -> Any:
+        """The value, or MISS if it is absent, expired or unreadable."""
+        meta = self._meta(self._place(key))
+        if meta is None:
             return MISS
-        if ttl is not None and self.clock() - stamp > ttl:
+        if meta["ttl"] is not None and self.clock() - meta["timestamp"] > meta["ttl"]:
             self.invalidate(key)
             return MISS
         try:
-            if kind == "frame":
+            if meta["kind"] == "frame":
                 spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-                return spark.read.parquet(self.storage.path(f"{at}.parquet"))
-            return pickle.loads(self.storage.load(f"{at}.pkl"))
+                return spark.read.parquet(self.storage.path(meta["data"]))
+            return pickle.loads(self.storage.load(meta["data"]))
         except (KeyError, OSError, EOFError, pickle.UnpicklingError):
             return MISS
         except Exception as e:
-            if kind == "frame":
+            if meta["kind"] == "frame":
                 return MISS
             raise e
 
     def put(self, key: str, value: Any, ttl: int | None = None) -> Any:
         """Keeps a value and returns it; of a DataFrame, the written one."""
         at, frame = self._place(key), isinstance(value, DataFrame)
+        before = self._meta(at)
+        data = f"{at}.{uuid.uuid4().hex[:8]}.{'parquet' if frame else 'pkl'}"
         if frame:
-            path = self.storage.path(f"{at}.parquet")
-            value.write.mode("overwrite").parquet(path)
+            path = self.storage.path(data)
+            try:
+                value.write.mode("errorifexists").parquet(path)
+            except Exception:
+                self.storage.delete(data)
+                raise
             value = value.sparkSession.read.schema(value.schema).parquet(path)
         else:
-            self.storage.save(f"{at}.pkl", cloudpickle.dumps(value))
-        meta = {"timestamp": self.clock(), "ttl": ttl, "kind": "frame" if frame else "value", "schema": value.schema.json() if frame else None}
+            self.storage.save(data, cloudpickle.dumps(value))
+        meta = {"timestamp": self.clock(), "ttl": ttl, "kind": "frame" if frame else "value", "data": data, "schema": value.schema.json() if frame else None}
         self.storage.save(f"{at}.meta.json", json.dumps(meta).encode())
+        if before:
+            self.storage.delete(before["data"])
         return value
 
     def invalidate(self, key: str) -> None:
         at = self._place(key)
-        for end in ("meta.json", "pkl", "parquet"):
-            self.storage.delete(f"{at}.{end}")
+        meta = self._meta(at)
+        self.storage.delete(f"{at}.meta.json")
+        if meta:
+            self.storage.delete(meta["data"])
+
+    def keys(self) -> list[str]:
+        """Keys of all entries, expired ones included."""
+        found = (re.fullmatch(r"([0-9a-fA-F]{2})/([0-9a-fA-F]+)\.meta\.json", k) for k in self.storage.list_keys())
+        return sorted(m[1] + m[2] for m in found if m)
 
     def clear(self) -> None:
         """Deletes all entries, and nothing else that lies there."""
         for key in self.storage.list_keys():
-            if re.fullmatch(r"[0-9a-fA-F]{2}/[0-9a-fA-F]+\.(meta\.json|pkl|parquet)", key):
+            if re.fullmatch(r"[0-9a-fA-F]{2}/[0-9a-fA-F]+\.(meta\.json|[0-9a-f]{8}\.(pkl|parquet))", key):
                 self.storage.delete(key)

@@ -6,6 +6,7 @@ import contextlib
 import dataclasses
 import datetime
 import logging
+import logging.config
 import threading
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -13,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from taskloom.functions.formatting import format_duration
-from taskloom.scope import TaskMetadata, current_session, current_task
+from taskloom.scope import TaskMetadata, current_session, current_task, settings
 
 log = logging.getLogger("taskloom")
 
@@ -40,21 +41,36 @@ EVENT_SCHEMA = (
 )
 
 
+@contextlib.contextmanager
+def quiet(said: str = "while ending a session"):
+    """Errors inside are logged and go no further."""
+    try:
+        yield
+    except Exception:
+        log.exception(said)
+
+
 class EventRegistry:
-    """Handlers by event type; one that raises is logged and doesn't stop the others."""
+    """Who is to hear of which events, as (event type, handler) in the order of their coming.
+
+    A subclass says in ``deliver`` what becomes of an event; here all its
+    handlers get it, and what one of them raises is logged and held back.
+    """
 
     def __init__(self) -> None:
-        self._handlers: dict[Hashable, list[Callable[[dict], None]]] = {}
+        self.subscribers: list[tuple[Hashable, Callable[[dict], None]]] = []
 
     def register(self, kind: Hashable, handler: Callable[[dict], None]) -> None:
-        self._handlers.setdefault(kind, []).append(handler)
+        self.subscribers.append((kind, handler))
+
+    def deliver(self, kind: Hashable, data: dict) -> None:
+        for wanted, handler in self.subscribers:
+            if wanted == kind:
+                with quiet(f"a handler of event {kind!r} failed"):
+                    handler(data)
 
     def dispatch(self, kind: Hashable, data: dict) -> None:
-        for handler in self._handlers.get(kind, ()):
-            try:
-                handler(data)
-            except Exception:
-                log.exception("handler of event %r failed", kind)
+        self.deliver(kind, data)
 
 
 class Hooks:
@@ -86,6 +102,8 @@ class Hooks:
         return any(p is plugin for p in self.plugins)
 
     def call(self, hook: str, **values: Any) -> None:
+        if settings().trace_hooks:
+            log.info("hook %s: %s", hook, ", ".join(f"{k}={v!r}" for k, v in values.items()))
         for p in self.plugins:
             if (method := getattr(p, hook, None)) is None:
                 continue
@@ -157,6 +175,20 @@ for _hook in HOOKS:
     setattr(EventLog, _hook, _recorder(_hook))
 
 
+def configure_logging(level: str = "INFO", path: str | None = None) -> None:
+    """The engine's default logging: lines with time, level and logger, to standard error or appended to a file."""
+    target = {"class": "logging.FileHandler", "filename": path} if path else {"class": "logging.StreamHandler"}
+    logging.config.dictConfig(
+        {
+            "version": 1,
+            "disable_existing_loggers": False,
+            "formatters": {"line": {"format": "%(asctime)s %(levelname)-7s %(name)s: %(message)s"}},
+            "handlers": {"taskloom": {**target, "formatter": "line"}},
+            "loggers": {"taskloom": {"handlers": ["taskloom"], "level": level, "propagate": False}},
+        }
+    )
+
+
 @dataclasses.dataclass
 class LifecycleLog:
     """A plugin that logs sessions and tasks as they begin, end and fail."""
@@ -199,18 +231,19 @@ def get_logger(name: str = "taskloom") -> logging.LoggerAdapter:
 
 
 class Outbox(EventRegistry):
-    """On an executor: keeps events, which go back to the driver with the results."""
+    """On an executor: events wait here and go back to the driver with the results."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.kept: list[tuple[Hashable, dict]] = []
+        self.waiting: list[tuple[Hashable, dict]] = []
 
-    def dispatch(self, kind: Hashable, data: dict) -> None:
-        self.kept.append((kind, data))
+    def deliver(self, kind: Hashable, data: dict) -> None:
+        self.waiting.append((kind, data))
 
     def taken(self) -> list[tuple[Hashable, dict]]:
-        kept, self.kept = self.kept, []
-        return kept
+        out = self.waiting
+        self.waiting = []
+        return out
 
 
 def emit(kind: Hashable, **data: Any) -> None:
@@ -265,12 +298,3 @@ class CentralLog:
     def _write(self, data: dict) -> None:
         if data["level"] >= self.level:
             logging.getLogger(data["name"]).log(data["level"], "%s", data["message"])
-
-
-@contextlib.contextmanager
-def quiet():
-    """Errors inside are logged and go no further."""
-    try:
-        yield
-    except Exception:
-        log.exception("while ending a session")

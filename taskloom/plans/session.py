@@ -47,6 +47,10 @@ def session(
         finally:
             with quiet():
                 state.hooks.call("after_session_end", session_id=state.id, duration=time.perf_counter() - began)
+            for frame in state.held:
+                # What still reads it afterwards computes it again.
+                with quiet():
+                    frame.unpersist()
             if spark is not None:
                 with quiet():
                     spark.sparkContext.cancelJobsWithTag(tag)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import contextvars
 import dataclasses
+import threading
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import TYPE_CHECKING, Any
 
 from taskloom.settings import Settings, get_global_settings
@@ -42,20 +42,45 @@ class SessionState:
     backend: str | None = None
     cache_store: CacheStore | str | None = None
     dataset_store: DatasetStore | str | None = None
+    #: DataFrames that tasks have persisted; freed as the session ends.
+    held: list[Any] = dataclasses.field(default_factory=list)
 
 
 _session: contextvars.ContextVar[SessionState | None] = contextvars.ContextVar("taskloom_session", default=None)
 _task: contextvars.ContextVar[tuple[TaskMetadata, Any] | None] = contextvars.ContextVar("taskloom_task", default=None)
+_limit: contextvars.ContextVar[threading.Event | None] = contextvars.ContextVar("taskloom_limit", default=None)
 _index: contextvars.ContextVar[int | None] = contextvars.ContextVar("taskloom_index", default=None)
 
 
-@contextlib.contextmanager
-def _set(var: contextvars.ContextVar, value: Any) -> Iterator[None]:
-    token = var.set(value)
-    try:
-        yield
-    finally:
-        var.reset(token)
+class _Within:
+    """Sets a variable for a ``with`` block; once only, and blocks end in the order of their beginnings."""
+
+    def __init__(self, var: contextvars.ContextVar, value: Any):
+        self.var, self.value, self.token = var, value, None
+
+    def __enter__(self) -> None:
+        if self.token is not None:
+            raise RuntimeError(f"this context of {self.var.name} was entered before")
+        self.token = self.var.set(self.value)
+
+    def __exit__(self, *error: Any) -> None:
+        if self.token is None or self.token.var is not self.var or self.var.get() is not self.value:
+            raise RuntimeError(f"contexts of {self.var.name} are left in another order than they were entered")
+        self.var.reset(self.token)
+
+
+def _set(var: contextvars.ContextVar, value: Any) -> _Within:
+    return _Within(var, value)
+
+
+def in_limit(expired: threading.Event) -> _Within:
+    return _set(_limit, expired)
+
+
+def still_wanted() -> bool:
+    """Whether the call under way is within its time limit; after it, nothing is written."""
+    expired = _limit.get()
+    return expired is None or not expired.is_set()
 
 
 def in_session(state: SessionState):

@@ -20,7 +20,9 @@ def _flag(name: str) -> bool:
 class Settings:
     backend: str = "inline"
     max_backend_threads: int = dataclasses.field(default_factory=lambda: min(32, (os.cpu_count() or 1) + 4))
-    max_partitions: int = dataclasses.field(default_factory=lambda: os.cpu_count() or 1)
+    #: Parts of a map's Spark job at most; 0: as many as the cluster runs at once.
+    max_partitions: int = 0
+    #: Whether every hook call is logged.
     trace_hooks: bool = dataclasses.field(default_factory=lambda: _flag("TASKLOOM_TRACE_HOOKS"))
     dataset_store: str = dataclasses.field(default_factory=lambda: os.environ.get("TASKLOOM_DATASET_STORE", "."))
     cache_store: str = dataclasses.field(default_factory=lambda: os.environ.get("TASKLOOM_CACHE_STORE", ".cache"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import shutil
+import uuid
 from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
@@ -65,16 +66,22 @@ class Storage:
         if self.is_local:
             at = self._local(key)
             at.parent.mkdir(parents=True, exist_ok=True)
-            aside = at.with_name(f".{at.name}.{os.getpid()}.tmp")
+            aside = at.with_name(f".{at.name}.{uuid.uuid4().hex}.tmp")
             aside.write_bytes(data)
             os.replace(aside, at)
         else:
-            fs, path, _ = self._remote(key)
-            out = fs.create(path, True)
+            fs, path, jvm = self._remote(key)
+            aside = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}.tmp")
+            out = fs.create(aside, True)
             try:
                 out.write(data)
             finally:
                 out.close()
+            if not fs.rename(aside, path):
+                # File systems that don't replace a file by a rename.
+                fs.delete(path, False)
+                if not fs.rename(aside, path):
+                    raise OSError(f"{key!r} can't be moved into place")
         return self.path(key)
 
     def load(self, key: str) -> bytes:

@@ -205,3 +205,57 @@ def test_event_rows_keep_whole_values():
     log, text = EventLog(), "long error " * 100
     log._add("on_error", error=ValueError(text))
     assert log.rows()[0][-1] == {"error": text}
+
+
+def test_contexts_are_entered_once_and_left_in_order():
+    from taskloom import scope
+
+    once = scope.at_index(1)
+    with once:
+        with pytest.raises(RuntimeError, match="entered before"):
+            once.__enter__()
+    with pytest.raises(RuntimeError, match="another order"):
+        once.__exit__(None, None, None)
+    first, second = scope.at_index(1), scope.at_index(2)
+    first.__enter__()
+    second.__enter__()
+    with pytest.raises(RuntimeError, match="another order"):
+        first.__exit__(None, None, None)
+    second.__exit__(None, None, None)
+    first.__exit__(None, None, None)
+    assert scope.current_index() is None
+
+
+def test_hooks_are_traced(caplog):
+    with caplog.at_level("INFO", "taskloom"), session(settings=Settings(trace_hooks=True)):
+        task(lambda: 1, name="t")()
+    assert "hook before_node_execute" in caplog.text and "hook after_session_end" in caplog.text
+
+
+def test_default_logging(tmp_path):
+    import logging
+
+    from taskloom.plans.hooks import configure_logging
+
+    log = logging.getLogger("taskloom")
+    before = log.handlers[:], log.level, log.propagate
+    try:
+        configure_logging("WARNING", str(tmp_path / "log.txt"))
+        get_logger().info("no")
+        get_logger().warning("yes")
+        assert [line.split(" ", 2)[2].rstrip() for line in open(tmp_path / "log.txt")] == ["WARNING taskloom: yes"]
+    finally:
+        for h in log.handlers:
+            h.close()
+        log.handlers[:], log.level, log.propagate = before
+
+
+def test_sessions_free_what_tasks_persisted(spark):
+    @task(mode="table", retries=1)
+    def rows():
+        return spark.range(7)
+
+    with session() as s:
+        df = rows()
+        assert df.is_cached and s.held == [df]
+    assert not df.is_cached and df.count() == 7

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom import load_dataset, map_tasks, save_dataset, session, task
-from taskloom.errors import Uncacheable
+from taskloom.errors import TaskTimeout, Uncacheable
 from taskloom.plans.cache import MISS, CacheStore, frame_key, value_key
 from taskloom.sources import DatasetStore, Storage
 
@@ -139,3 +139,38 @@ def test_cached_table_runs_no_second_time(spark, tmp_path):
         for _ in range(2):
             assert evens(spark.read.parquet(str(tmp_path / "in"))).count() == 5
     assert runs == [1]
+
+
+def test_an_entry_is_replaced_at_once(spark, tmp_path, monkeypatch):
+    """A put that fails leaves the entry before; one that succeeds leaves no data of it."""
+    store = CacheStore(str(tmp_path))
+    store.put("abc123", spark.range(3))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        store.put("abc123", spark.range(3).select(F.expr("id / (id - id)").alias("id")).where("id > 0 or id / 0 > 1"))
+    assert store.get("abc123").count() == 3
+    store.put("abc123", 5)
+    assert store.get("abc123") == 5 and store.keys() == ["abc123"]
+    assert [p.suffix for p in (tmp_path / "ab").glob("c123.*.p*")] == [".pkl"]
+
+
+def test_nothing_is_written_after_a_time_limit(tmp_path):
+    import time
+
+    @task(timeout=0.2, cache=True, dataset="late.txt", dataset_store=str(tmp_path / "data"))
+    def late():
+        time.sleep(0.6)
+        return "x"
+
+    with session(cache_store=str(tmp_path / "cache")), pytest.raises(TaskTimeout):
+        late()
+    time.sleep(0.8)
+    assert not list(tmp_path.rglob("*.*"))
+
+
+def test_frame_keys_ask_for_folders_not_files(spark, tmp_path):
+    spark.range(50).repartition(25).write.parquet(str(tmp_path / "many"))
+    df = spark.read.parquet(str(tmp_path / "many"))
+    assert frame_key(df) == frame_key(spark.read.parquet(str(tmp_path / "many")))
+    first = frame_key(df)
+    (tmp_path / "many" / "extra.parquet").write_bytes(next((tmp_path / "many").glob("part-*.parquet")).read_bytes())
+    assert frame_key(spark.read.parquet(str(tmp_path / "many"))) != first
