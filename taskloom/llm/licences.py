@@ -1,23 +1,25 @@
 """License scans: a trained classifier of licence paragraphs, confirmed by templates.
 
-A candidate paragraph is a window of words that holds enough of one template's
-word pairs; every place is a window's start, so none is cut. Windows with most
-pairs come first, and a pair of the text counts for one window only, so notices
-in a row, on one line or many, are found each. What template pairs are left
-form stretches that are candidates too. A candidate's features are sparse hashed
-indicators of single words, pairs and triples that occur in templates, and the
-share of its words that don't. Multinomial logistic regression tells licences
-from "unknown"; a sigmoid fitted on rows outside the fit calibrates how likely
-the paragraph is a licence at all; the family is that of the template with most
-pairs there, the regression's choice among equals, and stands only if enough of
-the template is there, with the version it names and what sets it apart from
-other families' templates alike. Licence text without a family that stands, an
-SPDX identifier outside the list and a grant under a licence of another name are
-reported as "unknown".
+Candidate paragraphs are of three kinds: windows of words that hold enough of
+one template's word pairs, and what template pairs are left; SPDX expressions
+and grants under a licence of any name; and the words around the name of a
+licence. Every place of a text may begin one, so none is cut, and
+windows with most pairs come first, so notices in a row are found each.
+
+A candidate's features are sparse hashed indicators of single words, pairs and
+triples. Multinomial logistic regression over them is trained on notices
+made of a grammar, templates with words left out, and sentences that name
+licences or use their words without being notices; a sigmoid fitted on rows outside the fit
+calibrates how likely the paragraph is a licence at all, and below
+``Settings.least`` it is none. The comparison confirms a family: enough of a
+template with the version it names and what sets it apart from others alike,
+or a name of the family. Of those confirmed, the regression's likeliest is the
+finding; a licence whose family isn't confirmed is "unknown".
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +48,14 @@ _ISC = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
     "and this permission notice appear in all copies."
 )
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+    "license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"
+)
 _UNLICENSE = (
     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
     "commercial or non-commercial, and by any means."
@@ -77,10 +87,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         _BSD,
+        _BSD_THIRD,
         "Licensed under the BSD 2-Clause License.",
         "SPDX-License-Identifier: BSD-2-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", _BOOST, "SPDX-License-Identifier: BSL-1.0"),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -134,7 +146,67 @@ FAMILIES = sorted(TEMPLATES)
 #: Grants that name no family; a star stands for one to _NAME words.
 GRANTS = tuple(f"{verb} under {the}* {noun}" for verb in ("licensed", "released", "distributed", "available") for the in ("", "the ", "the terms of the ") for noun in ("license", "licence"))
 UNKNOWN, _NAME = "unknown", 6
+
+
+def _versions(names: tuple[str, ...], version: str, short: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Names with a version in the ways people write it; short names have it in one word, too."""
+    number = version.removesuffix(".0")
+    ways = [f"{n} {v}" for n in (*names, *short) for v in dict.fromkeys((version, number, f"v{version}", f"v{number}", f"version {version}", f"version {number}"))]
+    return (*ways, *[f"{n}{mid}{v}" for n in short for mid, v in (("-", version), ("-", number), ("v", number), ("v", version), ("-v", number))])
+
+
+# What people call the families.
+NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": _versions(("GNU Affero General Public License", "Affero General Public License", "GNU AGPL"), "3.0", ("AGPL",)),
+    "Apache-2.0": _versions(("Apache License", "Apache Software License", "Apache"), "2.0", ("Apache", "ASL")),
+    "BSD": ("BSD", "BSD License", "BSD 2-Clause", "BSD 3-Clause", "2-clause BSD", "3-clause BSD", "New BSD", "Simplified BSD", "BSD-2-Clause", "BSD-3-Clause"),
+    "BSL-1.0": ("Boost Software License", "Boost License", *_versions(("Boost Software License",), "1.0", ("BSL",))),
+    "CC-BY": ("CC BY", "CC-BY", "Creative Commons Attribution", "CC BY 4.0", "CC-BY-4.0"),
+    "CC-BY-NC": ("CC BY-NC", "CC-BY-NC", "Creative Commons Attribution-NonCommercial", "CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    "CC-BY-SA": ("CC BY-SA", "CC-BY-SA", "Creative Commons Attribution-ShareAlike", "CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero"),
+    "EPL-1.0": _versions(("Eclipse Public License",), "1.0", ("EPL",)),
+    "EPL-2.0": _versions(("Eclipse Public License",), "2.0", ("EPL",)),
+    "GPL-2.0": _versions(("GNU General Public License", "GNU GPL"), "2.0", ("GPL",)),
+    "GPL-3.0": _versions(("GNU General Public License", "GNU GPL"), "3.0", ("GPL",)),
+    "ISC": ("ISC", "ISC License"),
+    "LGPL-2.0": _versions(("GNU Library General Public License",), "2.0", ("LGPL",)),
+    "LGPL-2.1": _versions(("GNU Lesser General Public License", "GNU LGPL"), "2.1", ("LGPL",)),
+    "LGPL-3.0": _versions(("GNU Lesser General Public License", "GNU LGPL"), "3.0", ("LGPL",)),
+    "MIT": ("MIT", "MIT License", "MIT-licensed", "Expat License"),
+    "MPL-2.0": _versions(("Mozilla Public License",), "2.0", ("MPL",)),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+    "unknown": ("GPL", "LGPL", "AGPL", "GNU GPL", "GNU General Public License", "GNU Lesser General Public License", "Apache License", "Mozilla Public License", "MPL", "Eclipse Public License", "EPL"),
+}
+# Notices that training makes, with a name in place of the star; sentences with a name that are none, and without one.
+NOTICES = (
+    "this project is * licensed", "licensed under *", "licensed under the *", "licensed under the terms of the *", "released under *", "released under the * license", "distributed under the *",
+    "distributed under the terms of the *", "available under the *", "made available under *", "is covered by the *", "license *", "license is *", "see the * for details", "* see license file",
+    "under the * license", "dual licensed under * and", "published under the * license", "governed by a * license", "is * licensed", "* license", "the code is * licensed software", "subject to the terms of the *",
+    "we use the * license", "this package uses the * license", "open source under *", "shared under a * license", "provided under *", "offered under the *", "ships with a * license",
+    "copyright holders license this under *", "you may use this under *", "contributions are accepted under the *", "the terms of the * apply", "under * or later", "under * or any later version", "ships under *", "is under the *",
+)
+# Parts of made notices, one of each in a row; the second may be left out.
+PARTS = (
+    ("licensed", "released", "distributed", "available", "published", "shared", "offered", "provided", "covered", "open source", "free software", "redistributed", "use it", "you can use it", "code", "license", "may be used", "subject to", "governed by", "relicensed", "copyright by the authors", "everything is", "source files are"),
+    ("under", "under", "by", "as", "to", ""),
+    ("the terms of the", "the", "a", "the conditions of the", ""),
+)
+ENDS = ("license", "licence", "see the license file", "or later", "", "", "free software", "license text")
+MENTIONS = (
+    "students at * study", "a professor from *", "researchers at * found", "the * helicopter flew", "went to *", "the * campus", "according to * scientists", "the * team won", "in the * region", "* is a name",
+    "a graduate of *", "the * tribe lived", "the * foundation meeting", "he joined *", "born near *", "the * institute announced", "called * by friends", "route * north", "*", "an * engineer said", "lecture at *",
+    "she studied physics at *", "the old * building", "a study by * shows", "the * server crashed", "read about *", "the difference between * and others", "a talk about * history", "visit *",
+)
+OTHERS = (
+    "the license of the driver", "driving license renewed", "a licensed plumber", "licensed physician", "permission was granted by the school", "all rights of way", "copyright law lecture", "the terms of the agreement between us",
+    "under the bridge", "under the law and may park", "released under water", "distributed under desks", "a fishing license", "the software of the machine", "redistribution of wealth", "a work of art is on the table",
+    "free of charge to any person", "in the public domain of politics", "see the file for details", "source code review meeting", "the notice of the meeting", "the licence fee was raised", "version 3 of the song", "as published by the newspaper",
+    "either version of the story", "with or without sugar", "the above list of guests", "this program is on television", "this work is hard", "under the terms of the treaty", "rights were reserved for members", "available under the counter",
+)
 LABELS = [*FAMILIES, UNKNOWN]
+#: From here on a candidate's number is of the name that it is around.
+NAMED = 1 << 20
 _BITS = 20
 _PUNCTUATION = np.array([0x20 if chr(b) in ",;:()[]{}\"'!?<>*/" else b for b in range(256)], np.uint8)
 #: Words without a template pair that a paragraph may hold in a row, and at least by how many a window may outgrow its template.
@@ -144,9 +216,12 @@ _GAP = 3
 @dataclass(frozen=True)
 class Settings:
     #: Training rows by template and from mixed template words; descent steps.
-    rows_per_template: int = 40
+    rows_per_template: int = 10
+    #: Made notices by family, and sentences that are none; words on either side of a name.
+    notices: int = 140
     unknown_rows: int = 1500
-    steps: int = 150
+    context: int = 6
+    steps: int = 90
     penalty: float = 1e-4
     seed: int = 41
     #: Least probability of being a licence, and least part of a template's pairs, for a finding.
@@ -200,7 +275,15 @@ class LicenceModel:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.known_pairs & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         self.keys = [self._keys(k, t) for k, (_, t) in enumerate(sentences)]
-        grams = np.unique(np.concatenate([_grams(w) for w in words] + [_grams(h) for g in GRANTS for h in _hashes(g.split("*"))]))
+        #: Names as word sequences with their labels, the longest first; words that begin one.
+        self.names = sorted(((h, LABELS.index(f)) for f, names in NAMES.items() for h in _hashes(list(names))), key=lambda r: -len(r[0]))
+        self.opens: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for h, f in self.names:
+            self.opens.setdefault(int(h[0]), []).append((h, f))
+        self.opening = np.zeros(1 << _BITS, bool)
+        self.opening[[h & ((1 << _BITS) - 1) for h in self.opens]] = True
+        made = [h for t in (*NOTICES, *OTHERS, *MENTIONS, *ENDS, *[x for p in PARTS for x in p]) for h in _hashes(t.split("*"))]
+        grams = np.unique(np.concatenate([_grams(w) for w in words] + [_grams(h) for h, _ in self.names] + [_grams(h) for h in made] + [_grams(h) for g in GRANTS for h in _hashes(g.split("*"))]))
         self.column = np.full(1 << _BITS, -1, np.int32)
         self.column[grams] = np.arange(len(grams))
         self.width = len(grams) + 2
@@ -242,17 +325,47 @@ class LicenceModel:
         pool = np.concatenate(words)
         rows, labels = [], []
         for f, w in zip(self.family.tolist(), words, strict=True):
-            for k in range(s.rows_per_template):
+            for k in range(max(s.rows_per_template, 60 // len(TEMPLATES[FAMILIES[f]]))):
                 own = w if k % 4 == 0 else w[rng.random(len(w)) < 0.9]
                 extra = rng.integers(0, 2**63, int(rng.integers(0, 4)) if k % 2 else 0).astype(np.uint64)
                 rows.append(self._row(np.concatenate((extra[: len(extra) // 2], own, extra[len(extra) // 2 :]))))
                 labels.append(f)
         for g in GRANTS:
             before, after = (_hashes([t])[0] for t in g.split("*"))
-            for _ in range(s.rows_per_template):
+            for _ in range(2 * s.rows_per_template):
                 name = rng.integers(0, 2**63, int(rng.integers(1, _NAME + 1))).astype(np.uint64)
                 rows.append(self._row(np.concatenate((before, name, after))))
                 labels.append(len(FAMILIES))
+        of: dict[int, list[np.ndarray]] = {}
+        for h, f in self.names:
+            of.setdefault(f, []).append(h)
+
+        def hashed(texts: tuple[str, ...]) -> list[np.ndarray]:
+            return [_hashes([t])[0] if t else np.zeros(0, np.uint64) for t in texts]
+
+        forms, mentions = [hashed(tuple(g.split("*"))) for g in NOTICES], [hashed(tuple(g.split("*"))) for g in MENTIONS]
+        others = _hashes(list(OTHERS))
+        parts, ends = [hashed(p) for p in PARTS], hashed(ENDS)
+
+        def noise(most: int) -> np.ndarray:
+            return rng.integers(0, 2**63, int(rng.integers(0, most + 1))).astype(np.uint64)
+
+        def around(parts: list[np.ndarray], name: np.ndarray) -> np.ndarray:
+            return np.concatenate((noise(5), parts[0], name, parts[1] if len(parts) > 1 else name[:0], noise(5)))
+
+        for f, named in sorted(of.items()):
+            for k in range(s.notices):
+                name, form = named[int(rng.integers(len(named)))], forms[int(rng.integers(len(forms)))]
+                if k % 2:
+                    form = [np.concatenate([p[int(rng.integers(len(p)))] for p in parts]), ends[int(rng.integers(len(ends)))]]
+                rows.append(self._row(around(form, name)))
+                labels.append(f)
+                if k % 2:
+                    rows.append(self._row(around(mentions[int(rng.integers(len(mentions)))], name)))
+                    labels.append(len(LABELS))
+        for k in range(4 * len(others)):
+            rows.append(self._row(np.concatenate((noise(6), others[k % len(others)], noise(6)))))
+            labels.append(len(LABELS))
         for k in range(s.unknown_rows):
             n = int(rng.integers(2, 14))
             if k % 3:
@@ -261,13 +374,12 @@ class LicenceModel:
                 w = words[int(rng.integers(len(words)))]
                 at = int(rng.integers(len(w)))
                 own = w[at : at + max(1, min(3, len(w) // 3))]
-            noise = rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)
-            rows.append(self._row(np.concatenate((own, noise))))
+            rows.append(self._row(np.concatenate((own, noise(11)))))
             labels.append(len(LABELS))
         x, y = np.array(rows), np.array(labels)
         known, margin = np.zeros(len(y)), np.zeros(len(y))
-        for k in range(4):
-            out = np.arange(len(y)) % 4 == k
+        for k in range(2):
+            out = np.arange(len(y)) % 2 == k
             weight = self._descend(x[~out], y[~out], s)
             logits = x[out] @ weight
             margin[out] = logits[:, :-1].max(axis=1) - logits[:, -1]
@@ -301,7 +413,7 @@ class LicenceModel:
         at, which = self._hits(pairs)
         stated = self._stated(words)
         if not len(at):
-            return stated
+            return self._with_named(words, stated)
         runs = self.owned[which + 1] - self.owned[which]
         hit = np.repeat(np.arange(len(at)), runs)
         first = np.cumsum(runs) - runs
@@ -363,7 +475,25 @@ class LicenceModel:
             else:
                 left.append((i, i + 2))
         out += [(a, b, None) for a, b in left]
-        return [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])]
+        return self._with_named(words, [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])])
+
+    def _with_named(self, words: np.ndarray, found: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
+        """Candidates and, outside of those that hold a template or a statement, the words around names of licences; labels as NAMED + label."""
+        out, end = [], 0
+        for i in np.flatnonzero(self.opening[(words & np.uint64((1 << _BITS) - 1)).astype(np.int64)]).tolist():
+            if i < end:
+                continue
+            for h, f in self.opens.get(int(words[i]), ()):
+                if i + len(h) <= len(words) and (words[i : i + len(h)] == h).all():
+                    end = i + len(h)
+                    if not any(a <= i < b and (k is None or k >= 0 or -1 - k < len(FAMILIES)) and k is not None for a, b, k in found):
+                        out.append((max(0, i - self.settings.context), min(len(words), end + self.settings.context), NAMED + f))
+                    break
+        if not out:
+            return found
+        # A grant that a name of a family says more of, and left-over pairs around a name, are that name's.
+        found = [(a, b, k) for a, b, k in found if not ((k is None or k == -1 - len(FAMILIES)) and any(x < b and a < y for x, y, _ in out))]
+        return sorted([*found, *out], key=lambda r: r[:2])
 
     def _stated(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """SPDX expressions, once for each identifier, and grants under licences of any name; labels as -1 - label."""
@@ -402,17 +532,25 @@ class LicenceModel:
             return (LABELS[-1 - template], chance, 1.0) if stated or chance >= self.settings.least else None
         if chance < self.settings.least:
             return None
+        if template is not None and template >= NAMED:
+            return LABELS[template - NAMED], chance, 1.0
         own = np.unique(_words.windows(words, 2))
         which = np.searchsorted(self.known_pairs, own)
         which = which[self.known_pairs[np.minimum(which, len(self.known_pairs) - 1)] == own]
         found = self.inside[:, which].sum(axis=1)
-        k = template
-        if k is None:
-            known = np.flatnonzero(found >= self.needed)
-            if not len(known):
-                return None
-            k = max(known.tolist(), key=lambda k: (self._stands(k, own), found[k], found[k] / self.total[k], logits[self.family[k]]))
-        return FAMILIES[self.family[k]] if self._stands(k, own) else UNKNOWN, chance, float(found[k] / self.total[k])
+        # Templates that are there confirm their families; the likeliest of these is the finding.
+        there = np.flatnonzero(found >= self.needed) if template is None else np.array([template])
+        if not len(there):
+            return None
+        stand = [k for k in there.tolist() if self._stands(k, own)]
+        k = max(stand or there.tolist(), key=lambda k: (found[k], found[k] / self.total[k], logits[self.family[k]]))
+        return FAMILIES[self.family[k]] if stand else UNKNOWN, chance, float(found[k] / self.total[k])
+
+
+@functools.lru_cache(maxsize=4)
+def trained(settings: Settings) -> LicenceModel:
+    """The model of some settings; it depends on nothing else, so it is trained once."""
+    return LicenceModel(settings)
 
 
 def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -421,7 +559,8 @@ def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) ->
     ``licences``: the families found, "unknown" for licences that aren't of
     FAMILIES, in order and joined by commas ("" if none); ``n_paragraphs``: candidate paragraphs; ``n_found``: confirmed ones;
     ``probability``: the highest of theirs (null if none). Null and empty
-    texts have none. Repeated rows get the same result; columns named as an
+    texts have none, very long texts are scanned whole, and families that tie for a paragraph are told by
+    the order of FAMILIES. Repeated rows get the same result; columns named as an
     added one are replaced; an empty table stays empty.
     """
     added = [("licences", T.StringType()), ("n_paragraphs", T.LongType()), ("n_found", T.LongType()), ("probability", T.DoubleType())]
@@ -429,7 +568,7 @@ def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) ->
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([*df.select(*kept).schema.fields, *[T.StructField(n, t) for n, t in added]])
     source = df.select(*kept) if text in kept else df.select(*kept, text)
-    model = LicenceModel(settings)
+    model = trained(settings or Settings())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

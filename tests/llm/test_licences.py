@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from taskloom.llm import licences
@@ -6,7 +7,7 @@ from tests.llm import corpus
 
 @pytest.fixture(scope="module")
 def model():
-    return licences.LicenceModel()
+    return licences.trained(licences.Settings())
 
 
 def found(model, text):
@@ -16,8 +17,8 @@ def found(model, text):
 
     out = set()
     for g in _words.words_of(licences._plain(pa.array([text]))):
-        for i, j in model.paragraphs(g.hashes, _words.windows(g.hashes, 2)):
-            if hit := model.judge(g.hashes[i:j]):
+        for i, j, k in model.notices(g.hashes, _words.windows(g.hashes, 2)):
+            if hit := model.judge(g.hashes[i:j], k):
                 out.add(hit[0])
     return out
 
@@ -82,3 +83,96 @@ def test_versions_headers_and_unknown_licences(spark):
     }
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {list(texts)[r.doc_id]: r.licences for r in got} == texts
+
+
+# Held out: none of these is made by the grammar that the model is trained on.
+HELD_OUT = {
+    "Source files here carry an MIT license, have fun with them": "MIT",
+    "Everything in this folder is MIT unless a file says otherwise, see license": "MIT",
+    "License of this module: Apache 2.0 (see the text in the root folder)": "Apache-2.0",
+    "Copyright 2019 by the authors. Apache License 2.0": "Apache-2.0",
+    "Our code is free software under Apache-2.0, patches welcome": "Apache-2.0",
+    "This library may be redistributed under the GNU LGPL version 2.1": "LGPL-2.1",
+    "Free software, licensed under LGPLv3": "LGPL-3.0",
+    "GPLv2 licensed kernel module": "GPL-2.0",
+    "You can use it under the terms of the GNU GPL version 3": "GPL-3.0",
+    "This tool is GPL v3 licensed free software": "GPL-3.0",
+    "It is released to everybody under the AGPLv3": "AGPL-3.0",
+    "Made available under the Mozilla Public License 2.0 by its authors": "MPL-2.0",
+    "All of it is licensed MPL 2.0": "MPL-2.0",
+    "Released by the lab under a BSD license": "BSD",
+    "Distributed under the 3-clause BSD license by its maintainers": "BSD",
+    "Photos are licensed under CC BY-SA 4.0 by their owners": "CC-BY-SA",
+    "Text available under the Creative Commons Attribution-ShareAlike license": "CC-BY-SA",
+    "Pictures shared under CC BY-NC 4.0 for teaching": "CC-BY-NC",
+    "The data set is published under CC0": "CC0-1.0",
+    "Plugin code under the Eclipse Public License 2.0": "EPL-2.0",
+    "Use, modification and distribution are subject to the Boost Software License, Version 1.0": "BSL-1.0",
+    "Small utilities, released under the ISC license": "ISC",
+    "Put it to any use, it is under the Unlicense": "Unlicense",
+    "The package is open source under the GPL": "unknown",
+}
+NO_NOTICE = (
+    "Researchers at MIT published a new paper on lasers",
+    "He was a student at MIT for four years and liked it",
+    "MIT is in Cambridge and has a large campus by the river",
+    "Apache warriors rode through the canyon at dawn",
+    "The Apache 2 roller coaster closed in spring",
+    "the apache helicopter flew over the valley",
+    "They bought BSD shirts in Berlin last summer",
+    "The ISC met on Tuesday to elect its chairman",
+    "The doctor is licensed to practise in two states",
+    "Her driving license expired in May and she walked",
+    "You need a fishing license to go to the lake",
+    "A copyright lawyer came to the meeting with a folder",
+    "Permission to land was granted by the tower",
+    "The wine was distributed under the tables of the hall",
+    "His rights were read to him and he was released",
+    "The software crashed and the file was lost without a copy",
+    "Free of charge, the museum opens its doors on Sunday",
+    "The public domain of the king was small",
+    "The terms of the treaty were signed by both kings",
+    "Version 2.0 of the plan is due on Monday",
+    "The boost came from the new engine of the car",
+    "An eclipse will be seen in the public park at noon",
+    "The Mozilla foundation held a meeting about the web",
+    "Creative people in the commons gave attribution to the poet",
+)
+
+
+def test_held_out_notices_and_sentences(model):
+    """Precision, recall and family of notices in other words than the training's; the figures are in the README."""
+    right = sum(found(model, t) == {f} for t, f in HELD_OUT.items())
+    some = sum(bool(found(model, t)) for t in HELD_OUT)
+    wrong = [t for t in NO_NOTICE if found(model, t)]
+    assert right >= 0.9 * len(HELD_OUT), [(t, found(model, t)) for t, f in HELD_OUT.items() if found(model, t) != {f}]
+    assert some >= 0.9 * len(HELD_OUT) and len(wrong) <= 0.1 * len(NO_NOTICE), wrong
+
+
+def test_the_classifier_decides(spark):
+    """Names alone don't make a notice: without the classifier's word all of them would."""
+    rows = spark.createDataFrame(list(enumerate((*HELD_OUT, *NO_NOTICE))), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(rows).collect()}
+    every = {r.doc_id: r.licences for r in licences.scan(rows, settings=licences.Settings(least=0.0)).collect()}
+    changed = [i for i in got if got[i] != every[i]]
+    # What it holds back is mostly none, though a family was named there.
+    assert len(changed) >= 5 and all(every[i] for i in changed) and sum(i >= len(HELD_OUT) for i in changed) >= 0.7 * len(changed)
+
+
+def test_unknown_class_is_calibrated(model):
+    """On held-out candidates, chances near 1 are notices and chances near 0 aren't."""
+    import pyarrow as pa
+
+    from taskloom.llm import _words
+
+    chances, truth = [], []
+    for texts, y in ((HELD_OUT, 1), (NO_NOTICE, 0)):
+        for t in texts:
+            g = next(_words.words_of(licences._plain(pa.array([t]))))
+            for i, j, _ in model.notices(g.hashes, _words.windows(g.hashes, 2)):
+                margin = model._row(g.hashes[i:j]) @ model.weight
+                margin = margin[:-1].max() - margin[-1]
+                chances.append(1 / (1 + np.exp(-(model.slope * margin + model.offset))))
+                truth.append(y)
+    chances, truth = np.array(chances), np.array(truth)
+    assert ((chances - truth) ** 2).mean() < 0.12 and truth[chances > 0.9].mean() > 0.9 and truth[chances < 0.1].mean() < 0.1
