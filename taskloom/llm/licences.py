@@ -218,7 +218,7 @@ class Settings:
     #: Training rows by template and from mixed template words; descent steps.
     rows_per_template: int = 10
     #: Made notices by family, and sentences that are none; words on either side of a name.
-    notices: int = 140
+    notices: int = 240
     unknown_rows: int = 1500
     context: int = 6
     steps: int = 90
@@ -241,8 +241,8 @@ def _plain(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
 
 
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    groups = _words.words_of(_plain(pa.array(texts, pa.large_string())))
+def _hashes(texts: list[str], lower: bool = True) -> list[np.ndarray]:
+    groups = _words.words_of(_plain(pa.array(texts, pa.large_string())), lower)
     return [g.of(i) for g in groups for i in range(len(g))]
 
 
@@ -275,8 +275,10 @@ class LicenceModel:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.known_pairs & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         self.keys = [self._keys(k, t) for k, (_, t) in enumerate(sentences)]
-        #: Names as word sequences with their labels, the longest first; words that begin one.
+        #: Names as word sequences with their labels, the longest first; words that begin one. A name of one word in capitals must have them: "mit" is a German word.
         self.names = sorted(((h, LABELS.index(f)) for f, names in NAMES.items() for h in _hashes(list(names))), key=lambda r: -len(r[0]))
+        capitals = [n for names in NAMES.values() for n in names if n.isalpha() and n.isupper()]
+        self.capitals = dict(zip([int(h[0]) for h in _hashes(capitals)], [int(h[0]) for h in _hashes(capitals, False)], strict=True))
         self.opens: dict[int, list[tuple[np.ndarray, int]]] = {}
         for h, f in self.names:
             self.opens.setdefault(int(h[0]), []).append((h, f))
@@ -361,7 +363,9 @@ class LicenceModel:
                 rows.append(self._row(around(form, name)))
                 labels.append(f)
                 if k % 2:
-                    rows.append(self._row(around(mentions[int(rng.integers(len(mentions)))], name)))
+                    # A name among words of any kind, as in other languages, or in a sentence that is no notice.
+                    alone = [rng.integers(0, 2**63, s.context).astype(np.uint64) for _ in range(2)]
+                    rows.append(self._row(around(alone if k % 8 == 1 else mentions[int(rng.integers(len(mentions)))], name)))
                     labels.append(len(LABELS))
         for k in range(4 * len(others)):
             rows.append(self._row(np.concatenate((noise(6), others[k % len(others)], noise(6)))))
@@ -408,12 +412,15 @@ class LicenceModel:
         hit = self.known_pairs[which] == pairs[at]
         return at[hit], which[hit]
 
-    def notices(self, words: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, int | None]]:
-        """Candidate word ranges in order, each with the template that its window holds; None for stretches of other template pairs."""
+    def notices(self, words: np.ndarray, pairs: np.ndarray, cased: np.ndarray | None = None) -> list[tuple[int, int, int | None]]:
+        """Candidate word ranges in order, each with the template that its window holds; None for stretches of other template pairs.
+
+        ``cased`` has the words' hashes with their case; without, names in capitals are taken as they come.
+        """
         at, which = self._hits(pairs)
         stated = self._stated(words)
         if not len(at):
-            return self._with_named(words, stated)
+            return self._with_named(words, cased, stated)
         runs = self.owned[which + 1] - self.owned[which]
         hit = np.repeat(np.arange(len(at)), runs)
         first = np.cumsum(runs) - runs
@@ -475,9 +482,9 @@ class LicenceModel:
             else:
                 left.append((i, i + 2))
         out += [(a, b, None) for a, b in left]
-        return self._with_named(words, [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])])
+        return self._with_named(words, cased, [(max(0, a - 1), min(len(words), b + 1), k) for a, b, k in sorted(out, key=lambda r: r[:2])])
 
-    def _with_named(self, words: np.ndarray, found: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
+    def _with_named(self, words: np.ndarray, cased: np.ndarray | None, found: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
         """Candidates and, outside of those that hold a template or a statement, the words around names of licences; labels as NAMED + label."""
         out, end = [], 0
         for i in np.flatnonzero(self.opening[(words & np.uint64((1 << _BITS) - 1)).astype(np.int64)]).tolist():
@@ -485,6 +492,8 @@ class LicenceModel:
                 continue
             for h, f in self.opens.get(int(words[i]), ()):
                 if i + len(h) <= len(words) and (words[i : i + len(h)] == h).all():
+                    if len(h) == 1 and cased is not None and self.capitals.get(int(h[0]), int(cased[i])) != int(cased[i]):
+                        continue
                     end = i + len(h)
                     if not any(a <= i < b and (k is None or k >= 0 or -1 - k < len(FAMILIES)) and k is not None for a, b, k in found):
                         out.append((max(0, i - self.settings.context), min(len(words), end + self.settings.context), NAMED + f))
@@ -573,11 +582,12 @@ def scan(df: DataFrame, text: str = "text", settings: Settings | None = None) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for group in _words.words_of(_plain(b.column(text))):
+            plain = _plain(b.column(text))
+            for group, cased in zip(_words.words_of(plain), _words.words_of(plain, False), strict=True):
                 pairs = _words.windows(group.hashes, 2)
                 for x, y in zip(group.edges[:-1].tolist(), group.edges[1:].tolist(), strict=True):
                     words = group.hashes[x:y]
-                    spans = model.notices(words, pairs[x : max(x, y - 1)])
+                    spans = model.notices(words, pairs[x : max(x, y - 1)], cased.hashes[x:y])
                     found = [f for f in (model.judge(words[i:j], k) for i, j, k in spans) if f]
                     rows.append((",".join(sorted({f[0] for f in found})), len(spans), len(found), max((f[1] for f in found), default=None)))
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))]

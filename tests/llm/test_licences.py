@@ -16,8 +16,9 @@ def found(model, text):
     from taskloom.llm import _words
 
     out = set()
-    for g in _words.words_of(licences._plain(pa.array([text]))):
-        for i, j, k in model.notices(g.hashes, _words.windows(g.hashes, 2)):
+    plain = licences._plain(pa.array([text]))
+    for g, cased in zip(_words.words_of(plain), _words.words_of(plain, False), strict=True):
+        for i, j, k in model.notices(g.hashes, _words.windows(g.hashes, 2), cased.hashes):
             if hit := model.judge(g.hashes[i:j], k):
                 out.add(hit[0])
     return out
@@ -136,6 +137,7 @@ NO_NOTICE = (
     "The boost came from the new engine of the car",
     "An eclipse will be seen in the public park at noon",
     "The Mozilla foundation held a meeting about the web",
+    "Er kam mit dem Zug und ging mit der Licht aus mit Lizenz",
     "Creative people in the commons gave attribution to the poet",
 )
 
@@ -168,8 +170,9 @@ def test_unknown_class_is_calibrated(model):
     chances, truth = [], []
     for texts, y in ((HELD_OUT, 1), (NO_NOTICE, 0)):
         for t in texts:
-            g = next(_words.words_of(licences._plain(pa.array([t]))))
-            for i, j, _ in model.notices(g.hashes, _words.windows(g.hashes, 2)):
+            plain = licences._plain(pa.array([t]))
+            g, cased = next(_words.words_of(plain)), next(_words.words_of(plain, False))
+            for i, j, _ in model.notices(g.hashes, _words.windows(g.hashes, 2), cased.hashes):
                 margin = model._row(g.hashes[i:j]) @ model.weight
                 margin = margin[:-1].max() - margin[-1]
                 chances.append(1 / (1 + np.exp(-(model.slope * margin + model.offset))))
