@@ -38,7 +38,7 @@ from taskloom.llm._store import Workspace, shuffle_width
 FREQUENT, RARE = 64_000, 1024
 END = FREQUENT + RARE
 #: Occurrences from which a word has emissions of its own; words joined in one task; tokens of a chunk, and of what one recursion holds.
-LEAST, TASK_WORDS, HELD, WAVE = 5, 1 << 20, 1 << 18, 1 << 20
+LEAST, TASK_WORDS, HELD, WAVE = 5, 1 << 20, 1 << 19, 3 << 18
 #: Tokens from which on a text's recursions go piece by piece, and those of a piece.
 LONG, PIECE = 1 << 18, 1 << 14
 #: Slots, at most, of the filter that tells words with emissions of their own.
@@ -711,10 +711,11 @@ def fit(rows: DataFrame, settings: Settings, work: Workspace) -> Fitted:
     own = Filter(others.where(F.col("c") >= LEAST))
     model, classes, sums, path = train(chunks, mass, settings, total, tasks, own, work)
     words = work.save(_words_table(sums, others, settings.states), "words")
-    del sums
+    ends = counts.where(F.col("h") == int(_END_HASH)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    del sums, others, counts
     work.drop("round")
+    work.drop("counts")
     work.release()
-    ends = counts.where(F.col("h") == int(_END_HASH)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     return Fitted(total, vocabulary, ends, frequent, _emissions(words, model, mass, classes, settings), words, chunks, path, tasks)
 
 
