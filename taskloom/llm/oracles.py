@@ -80,8 +80,9 @@ n AS (SELECT doc_id, count(s.s) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
-r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
-SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u),
+k AS (SELECT u AS doc_id, count(*) AS n_links FROM e GROUP BY u)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, coalesce(any_value(n_links), 0) AS n_links FROM r JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY doc_id, n
 """
 
 _OP7 = f"""

@@ -68,7 +68,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.jaccard_components(documents(spark, sf_dir), size=4, percent=85)
+    return similar.jaccard_components(documents(spark, sf_dir), size=4, percent=85, counts=True)
 
 
 def remainder(key: str, of: int) -> F.Column:

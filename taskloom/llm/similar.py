@@ -13,7 +13,11 @@
    more bits than their sets may differ in shingles. Candidates that such
    pairs join form families; the sets of a family meet once, in signature
    trees that skip pairs of one component. Families over a task's memory are
-   cut into chunks that meet pairwise.
+   cut into chunks that meet pairwise, and so are the rows of a shingle that
+   too many sets have in their prefixes.
+4. Links are counted inside the components, which hold them all: the distinct sets of a component
+   meet once, as exact bitmaps over the shingles that several of them have, and
+   each keeps a count of the documents it links with. No pair leaves its task.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ from taskloom.llm._memory import lean, lean_group
 from taskloom.llm._store import Workspace, shuffle_width
 from taskloom.llm.signatures import SignatureTree, stars
 
-#: Bytes of sets that meet in one task, prefix shingles of one, slots of the table of occurrences and of filters.
+#: Bytes of sets that meet in one task, prefix shingles of one, slots of the table of occurrences and, at most, of filters.
 BLOCK_BYTES, TASK_BYTES, TASK_PREFIXES = 8 << 20, 16 << 20, 1 << 20
-COUNT_SLOTS, FILTER_SLOTS, SEGMENTS = 1 << 21, 1 << 23, 64
+COUNT_SLOTS, FILTER_SLOTS, SEGMENTS = 1 << 21, 1 << 28, 64
+#: Rows of one shingle, and candidate rows, that meet in one task; pairs that are held before they become stars.
+TASK_ROWS, CANDIDATE_ROWS, PAIRS = 512, 1 << 16, 1 << 20
 HELD = 1 << 19
 _SALT = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 _THIN = "kind int, k long, n long, a long, b long, m1 long, m2 long, parity binary, segment int, counts binary"
@@ -44,8 +50,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (_words.mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_SLOTS)).astype(np.int64)
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (_words.mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
 
 
 def _prints(s: np.ndarray) -> tuple[int, int]:
@@ -144,23 +150,24 @@ def _levels(scanned: DataFrame) -> np.ndarray:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has the slots of all keys; what it lets through besides does no harm."""
+    """A bitmap that has the slots of all keys, sixteen slots a key up to FILTER_SLOTS; what it lets through besides does no harm."""
+    slots = min(FILTER_SLOTS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = _slot(batch.column("k").to_numpy(zero_copy_only=False))
+            slot = _slot(batch.column("k").to_numpy(zero_copy_only=False), slots)
             yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(slot & 63)], names=["w", "s"])
 
     bits = keys.mapInArrow(lean(work), "w long, s long").groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(s as int))")).alias("b"))
     found = bits.toArrow()
-    words = np.zeros(FILTER_SLOTS // 64, np.int64)
+    words = np.zeros(slots // 64, np.int64)
     words[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return words.view(np.uint64)
 
 
 def _passes(bitmap: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     def keep(keys: np.ndarray) -> np.ndarray:
-        slot = _slot(keys)
+        slot = _slot(keys, 64 * len(bitmap))
         return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     return keep
@@ -213,6 +220,18 @@ def _packed(rows: list[tuple[int, int, int, np.ndarray]], tasks: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["g", "b"])
 
 
+def _split_table(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    m, parts = found.column("m").to_numpy(), found.column("p").to_numpy()
+    order = np.argsort(m)
+    return m[order], parts[order].astype(np.uint32)
+
+
+def _parts_of(table: tuple[np.ndarray, np.ndarray], m: int) -> int:
+    """Into how many parts a block is split."""
+    at = int(np.searchsorted(table[0], m))
+    return int(table[1][at]) if at < len(table[0]) and table[0][at] == m else 1
+
+
 def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width: int) -> DataFrame | None:
     """Step 2: links between distinct sets that share a min-hash."""
     both = reps.select("k", "n", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("m")) for j in (1, 2)])).alias("x"))
@@ -222,9 +241,10 @@ def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width
     if not sums[1]:
         return None
     bytes_ = 8 * sums[0]
-    # At most 16,384 blocks are split, whatever the input.
-    limit = max(BLOCK_BYTES, bytes_ >> 14)
-    split = {(r["j"], r["m"]): -(-8 * r["n"] // limit) for r in blocks.where(F.col("n") * 8 > limit).collect()}
+    # Twelve bytes for each block that is split: at most four million of them, one for each BLOCK_BYTES.
+    limit = max(BLOCK_BYTES, bytes_ >> 22)
+    found = blocks.where(F.col("n") * 8 > limit).select("j", "m", F.ceil(F.col("n") * 8 / limit).alias("p")).toArrow()
+    split = {j: _split_table(found.filter(pc.equal(found.column("j"), j))) for j in (1, 2)}
     tasks = max(width, -(-bytes_ // TASK_BYTES))
     live = both.join(blocks.select("j", "m"), ["j", "m"], "left_semi").select("k").distinct()
     keep = _passes(_filter(live))
@@ -235,7 +255,7 @@ def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width
             if not len(s):
                 continue
             for j, m in enumerate(_least(s), 1):
-                parts = split.get((j, m), 1)
+                parts = _parts_of(split[j], m)
                 salt = int(_words.mix(np.array([key], np.int64).view(np.uint64) ^ _SALT[j - 1])[0]) % parts
                 block = int(_words.mix(np.array([m], np.int64).view(np.uint64) + np.uint64(j + 8 * salt))[0].view(np.int64))
                 held.append((block, key, key, s))
@@ -316,19 +336,25 @@ def _candidates(meets: DataFrame, percent: int, width: int, whole: bool = False)
         return out
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
+        table = table.sort_by([("t", "ascending"), ("n", "ascending")])
         t, k, component, n = (table.column(c).to_numpy() for c in ("t", "k", "component", "n"))
         blobs = table.column("parity").to_pylist()
         bits = np.array([8 * len(b) for b in blobs])
         maps = {int(b): folded(blobs, bits, int(b)) for b in np.unique(bits)}
-        found, gap, i = [], 0, np.arange(len(t))
+        u, v, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            pairs = np.concatenate([np.stack((u, v), axis=1), *held])
+            return tuple(np.unique(pairs, axis=0).T) if whole else stars(pairs[:, 0], pairs[:, 1])
+
+        gap, i, waiting = 0, np.arange(len(t)), 0
         while len(i):
             gap += 1
             i = i[i + gap < len(t)]
-            i = i[t[i] == t[i + gap]]
-            a, b = i, i + gap
-            ok = (component[a] != component[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
-            a, b = a[ok], b[ok]
+            # Sizes ascend, so a row whose partner is too large has none further on.
+            i = i[(t[i] == t[i + gap]) & (100 * n[i] >= percent * n[i + gap])]
+            ok = component[i] != component[i + gap]
+            a, b = i[ok], i[ok] + gap
             least = np.minimum(bits[a], bits[b])
             for w in np.unique(least).tolist():
                 x, y = a[least == w], b[least == w]
@@ -336,13 +362,23 @@ def _candidates(meets: DataFrame, percent: int, width: int, whole: bool = False)
                     p, q = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
                     differ = np.bitwise_count(maps[w][p] ^ maps[w][q]).sum(axis=1, dtype=np.int64)
                     near = (100 + percent) * differ <= (100 - percent) * (n[p] + n[q])
-                    found.append(np.stack((np.minimum(k[p], k[q])[near], np.maximum(k[p], k[q])[near]), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        u, v = (pairs[:, 0], pairs[:, 1]) if whole else stars(pairs[:, 0], pairs[:, 1])
-        return pa.table({"u": pa.array(u), "v": pa.array(v)})
-
-    tasks = 4 * width
-    return meets.groupBy(F.pmod(F.xxhash64("t"), F.lit(tasks)).alias("g")).applyInArrow(lean_group(work), "u long, v long").distinct()
+                    held.append(np.stack((np.minimum(k[p], k[q])[near], np.maximum(k[p], k[q])[near]), axis=1))
+                    waiting += int(near.sum())
+            if waiting >= PAIRS:
+                (u, v), held, waiting = fold(), [], 0
+        u, v = fold()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    # A shingle of many sets is cut into chunks, and pairs of chunks meet in tasks of their own.
+    many = meets.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    parts = F.ceil(F.col("c") / TASK_ROWS)
+    cut = meets.join(many.where(F.col("c") > TASK_ROWS).select("t", parts.alias("parts")), "t", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("k"), F.col("parts"))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.xxhash64("t", F.least(own, j), F.greatest(own, j)))
+    rows = cut.withColumn("block", F.explode(F.when(F.col("parts") == 1, F.array(F.xxhash64("t"))).otherwise(blocks)))
+    tasks = max(4 * width, -(-meets.count() // CANDIDATE_ROWS))
+    dealt = rows.withColumn("g", F.pmod("block", F.lit(tasks))).select("g", F.col("block").alias("t"), "k", "component", "n", "parity")
+    return dealt.groupBy("g").applyInArrow(lean_group(work), "u long, v long").distinct()
 
 
 def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: int, percent: int, width: int) -> DataFrame:
@@ -362,9 +398,34 @@ def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: in
     tasks = max(width, -(-8 * total // TASK_BYTES))
     keep = _passes(_filter(members.select("k")))
 
+    found = _whole_sets(rows, size, keep).join(placed, "k").select("block", "k", "component", "s")
+    return _block_links(found.mapInArrow(lean(_packer(tasks)), "g long, b binary"), percent)
+
+
+def _whole_sets(rows: DataFrame, size: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(k, a, b, n, s) of rows whose key passes the filter: fingerprints, size and the set itself."""
+    names = ["k", "a", "b", "n", "s"]
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, s in _sets(batches, size, keep):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["k", "s"])
+        held: list[tuple] = []
+        count = 0
+        for k, s in _sets(batches, size, keep):
+            if len(s):
+                held.append((k, *_prints(s), len(s), s.tobytes()))
+                count += len(s)
+            if count >= HELD:
+                yield batch_of(held)
+                held, count = [], 0
+        yield batch_of(held)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=names)
+
+    return rows.mapInArrow(lean(sets), "k long, a long, b long, n long, s binary")
+
+
+def _packer(tasks: int) -> Callable:
+    """Rows (block, k, component, s) packed by task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,8 +433,72 @@ def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: in
                 c = batch.slice(i, 500)
                 yield _packed([(x, k, l, np.frombuffer(s, np.uint64)) for x, k, l, s in zip(*[c.column(n).to_pylist() for n in ("block", "k", "component", "s")], strict=True)], tasks)
 
-    found = rows.mapInArrow(lean(sets), "k long, s binary").join(placed, "k").select("block", "k", "component", "s")
-    return _block_links(found.mapInArrow(lean(pack), "g long, b binary"), percent)
+    return pack
+
+
+def links_within(sets: list[np.ndarray], percent: int, weights: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the weights of those it links with, exactly; with ``side``, only of those on the other side."""
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, w = n[order], weights[order]
+    flat = np.concatenate([sets[i] for i in order.tolist()])
+    row = np.repeat(np.arange(len(order)), n)
+    tokens, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # A shingle that one set alone has is in no intersection; what all have is in every one.
+    some = (times > 1) & (times < len(order))
+    everywhere = int((times == len(order)).sum()) if len(order) > 1 else 0
+    place = np.cumsum(some) - 1
+    hit = some[which]
+    bits = max(64, -(-int(some.sum()) // 64) * 64)
+    maps = np.zeros((len(order), bits // 64), np.uint64)
+    at = place[which[hit]]
+    np.bitwise_or.at(maps, (row[hit], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    out = np.zeros(len(order), np.int64)
+    end = np.searchsorted(n, 100 * n // percent, "right")
+    turned = None if side is None else side[order]
+    step = max(1, (1 << 21) // maps.shape[1])
+    for i in range(len(order) - 1):
+        for j in range(i + 1, int(end[i]), step):
+            to = min(j + step, int(end[i]))
+            shared = np.bitwise_count(maps[j:to] & maps[i]).sum(axis=1, dtype=np.int64) + everywhere
+            link = 100 * shared >= percent * (n[i] + n[j:to] - shared)
+            if turned is not None:
+                link &= turned[j:to] != turned[i]
+            out[i] += int(w[j:to][link].sum())
+            out[j:to][link] += w[i]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _link_counts(rows: DataFrame, reps: DataFrame, component: DataFrame, size: int, percent: int, width: int) -> DataFrame:
+    """(a, b, n, links): of each distinct set that has a partner, the documents with other sets that it links with, from (k, a, b, n, c) and (node, component)."""
+    own = reps.select("k", "a", "b", "n", "c").join(component.withColumnRenamed("node", "k"), "k")
+    totals = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cn")).where("m > 1").drop("m")
+    placed = own.join(totals, "component").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("cn") / (BLOCK_BYTES // 8)))).withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+    keep = _passes(_filter(placed.select("k")))
+    total = placed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    tasks = max(width, -(-8 * total // TASK_BYTES))
+    # Chunks of a component meet pairwise, and each pair of sets is counted where their chunks meet.
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least("chunk", j).alias("x"), F.greatest("chunk", j).alias("y")))
+    dealt = placed.select("k", "a", "b", "n", "c", "component", "chunk", F.explode(pairs).alias("p"))
+    dealt = dealt.select("k", "a", "b", "n", "c", F.xxhash64("component", "p.x", "p.y").alias("block"), (F.col("chunk") == F.col("p.y")).alias("side"), (F.col("p.x") != F.col("p.y")).alias("cross"))
+    met = _whole_sets(rows, size, keep).join(dealt, ["k", "a", "b", "n"]).dropDuplicates(["a", "b", "n", "block"])
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        block = table.column("block").to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        links = np.zeros(len(block), np.int64)
+        c, side, cross = (table.column(x).to_numpy() for x in ("c", "side", "cross"))
+        blobs = table.column("s").to_pylist()
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if y - x > 1:
+                links[x:y] = links_within([np.frombuffer(b, np.uint64) for b in blobs[x:y]], percent, c[x:y], side[x:y] if cross[x] else None)
+        return pa.table({**{n: table.column(n) for n in ("a", "b", "n")}, "links": pa.array(links)})
+
+    found = met.withColumn("g", F.pmod("block", F.lit(tasks))).groupBy("g").applyInArrow(lean_group(count), "a long, b long, n long, links long")
+    return found.groupBy("a", "b", "n").agg(F.sum("links").alias("links"))
 
 
 def _distinct_sets(rows: DataFrame, size: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -381,7 +506,9 @@ def _distinct_sets(rows: DataFrame, size: int, work: Workspace) -> tuple[DataFra
     scanned = work.save(_scan(rows, size), "scan")
     thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2", "parity")
     usable = thin.where("k is not null and n > 0")
-    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
+    # Rows of one key and one set are one document; partial counts keep a set that very many have from meeting in one task.
+    once = usable.groupBy("a", "b", "n", "k").agg(*[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
+    reps = once.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
     return scanned, thin, usable, work.save(reps, "sets")
 
 
@@ -413,12 +540,6 @@ def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     work.release()
     keep = _passes(_filter(reps.select("k")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, s in _sets(batches, size, keep):
-            if len(s):
-                a, b = _prints(s)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (k, a, b, len(s))] + [pa.array([s.tobytes()], pa.binary())], names=["k", "a", "b", "n", "s"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
@@ -427,7 +548,7 @@ def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "d
             link = 100 * shared >= percent * (total - shared)
             yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(link)) for c in ("u", "v")], pa.array(shared[link])], names=["u", "v", "shared"])
 
-    whole = rows.mapInArrow(lean(sets), "k long, a long, b long, n long, s binary").join(numbered, ["k", "a", "b", "n"]).groupBy("set").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+    whole = _whole_sets(rows, size, keep).join(numbered, ["k", "a", "b", "n"]).groupBy("set").agg(F.first("s").alias("s"), F.first("n").alias("n"))
     whole = work.save(whole, "whole")
     x, y = (whole.select(F.col("set").alias(e), F.col("s").alias(c), F.col("n").alias(f"n{c}")) for e, c in (("u", "x"), ("v", "y")))
     met = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
@@ -450,13 +571,14 @@ def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     return named, out
 
 
-def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every row.
+def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id) for every row, and n_links with ``counts``.
 
     A text's set has its distinct shingles of ``size`` words, A-Z in lower
     case; with fewer words, the whole sequence is the one shingle. Two rows link if 100 *
     intersection >= ``percent`` * union; the component is the smallest key that
-    links lead to. Null texts and texts without words have the empty set and
+    links lead to; n_links counts the other documents that the row's own text links with, copies of it
+    included. Very long texts have all their shingles. Null texts and texts without words have the empty set and
     link with nothing. Rows with a null key take no part and get a null component. Rows that
     share a key are one document for links. An empty table stays empty. Other columns aren't read. The
     key must be an integer. Shingles are compared by 64-bit hashes.
@@ -491,5 +613,13 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
         work.release()
         if more.limit(1).count():
             labels = components(links.union(more), work, "second")
-    out = thin.select("k", "n").join(labels.withColumnRenamed("node", "k"), "k", "left")
-    return out.select(F.col("k").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    kind = df.schema[key].dataType
+    columns = [F.col("k").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id")]
+    out = thin.select("k", "a", "b", "n").join(labels.withColumnRenamed("node", "k"), "k", "left")
+    if counts:
+        linked = _link_counts(rows, reps, labels, size, percent, width)
+        linked = work.save(reps.select("a", "b", "n", "c").join(linked, ["a", "b", "n"], "left").select("a", "b", "n", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
+        work.release()
+        out = out.join(linked, ["a", "b", "n"], "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)

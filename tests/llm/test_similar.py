@@ -18,6 +18,11 @@ def sets(data, size):
     return out
 
 
+def link_counts(data, size, percent):
+    found = sets(data, size)
+    return {i: sum(j != i and bool(found[i] and found[j]) and 100 * len(found[i] & found[j]) >= percent * len(found[i] | found[j]) for j in found) for i in found}
+
+
 def brute(data, size, percent):
     found = sets(data, size)
     holders, parent = {}, {i: i for i in found}
@@ -42,9 +47,11 @@ def brute(data, size, percent):
 def test_all_links_are_found(spark, monkeypatch, size, percent, block):
     """Blocks and families of a few sets too, so that they are split and cut."""
     monkeypatch.setattr(similar, "BLOCK_BYTES", block)
+    monkeypatch.setattr(similar, "TASK_ROWS", 512 if block > 4000 else 3)
     data = [(r[0], r[1]) for r in corpus.rows(size)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar.jaccard_components(corpus.frame(spark, corpus.rows(size)), size, percent).collect()}
-    assert got == brute(data, size, percent)
+    got = similar.jaccard_components(corpus.frame(spark, corpus.rows(size)), size, percent, counts=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(data, size, percent)
+    assert {r.doc_id: r.n_links for r in got} == link_counts(data, size, percent)
 
 
 def test_without_the_first_blocks_nothing_is_lost(spark, monkeypatch):
@@ -61,7 +68,19 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(similar.jaccard_components(df, 4, 85).collect(), key=str)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == [(1, 2, 1), (3, 2, 1), (3, 2, 1), (7, 0, 7)]
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(2, None)]
-    assert similar.jaccard_components(df.limit(0), 4, 85).count() == 0
+    assert similar.jaccard_components(df.limit(0), 4, 85, counts=True).count() == 0
+    assert sorted((r.doc_id, r.n_links) for r in similar.jaccard_components(df, 4, 85, counts=True).collect() if r.doc_id is not None) == [(1, 1), (3, 1), (3, 1), (7, 0)]
+
+
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_links_within_are_counted(percent):
+    rng = np.random.default_rng(percent)
+    base = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    made = [np.sort(np.concatenate((base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64)))) for _ in range(40)] + [base, base]
+    weights, side = rng.integers(1, 5, len(made)), rng.random(len(made)) < 0.5
+    both = [[i != j and linked(made[i], made[j], percent) for j in range(len(made))] for i in range(len(made))]
+    assert similar.links_within(made, percent, weights).tolist() == [sum(w for j, w in enumerate(weights.tolist()) if both[i][j]) for i in range(len(made))]
+    assert similar.links_within(made, percent, weights, side).tolist() == [sum(w for j, w in enumerate(weights.tolist()) if both[i][j] and side[i] != side[j]) for i in range(len(made))]
 
 
 @pytest.mark.parametrize("percent", [60, 85])
