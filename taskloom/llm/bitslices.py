@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import _blobs, _words
-from taskloom.llm._memory import lean, lean_cogroup
-from taskloom.llm._store import Workspace
+from taskloom.llm._memory import lean, lean_cogroup, lean_group
+from taskloom.llm._store import Workspace, shuffle_width
 
-#: Rows of a block of the index on average, queries of a block, low slices left out of the sum.
-BLOCK_ROWS, BLOCK_QUERIES, SKIP = 1 << 16, 64, 3
+#: Rows of a block of the index on average, queries that meet a block at once and that are sent together, low slices left out of the sum.
+BLOCK_ROWS, BLOCK_QUERIES, PACK, SKIP = 1 << 16, 1 << 16, 1 << 12, 3
+#: Lists of best rows of a query that are merged at once.
+MERGED = 256
 
 
 def quantise(vectors: np.ndarray, scale: float = 256.0) -> np.ndarray:
@@ -52,12 +54,32 @@ class SliceBlock:
         for j, place in enumerate(kept):
             padded[j :: self.slices, :n] = ((shifted >> place) & 1).T
         plain = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+        self._open(plain)
+
+    def _open(self, plain: np.ndarray) -> None:
         #: Slices, then their complements, for digits of minus one.
         self.stack = np.concatenate((plain, ~plain))
         valid = np.zeros(self.words * 64, np.uint8)
-        valid[:n] = 1
+        valid[: len(self.ids)] = 1
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
 
+    def to_bytes(self) -> bytes:
+        """Ids, rows and slices as they are stored."""
+        low, high = (int(self.rows.min()), int(self.rows.max())) if self.rows.size else (0, 0)
+        rows = self.rows.astype(np.int16) if -32768 <= low and high < 32768 else self.rows
+        shape = np.array([self.dims, self.width, self.skip], np.int64)
+        return _blobs.pack(shape, self.ids, rows.ravel(), self.stack[: self.dims * self.slices].ravel())
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> SliceBlock:
+        shape, ids, rows, plain = _blobs.unpack(blob)
+        self = cls.__new__(cls)
+        self.dims, self.width, self.skip = (int(x) for x in shape)
+        self.ids, self.rows = ids, rows.astype(np.int64).reshape(len(ids), self.dims)
+        self.words, self.slices = -(-len(ids) // 64), self.width - self.skip
+        self._open(plain.reshape(self.dims * self.slices, self.words))
+        return self
+
     def _places(self, query: np.ndarray) -> dict[int, np.ndarray]:
         """For each binary place, which bitmaps a query adds there; digits are signed, few of them not 0."""
         out: dict[int, list] = {}
@@ -147,9 +169,9 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vector: Column) -> Column:
-    """Whether a vector takes part: not null or empty, and all of it finite."""
+    """Whether a vector takes part: not null, and all of it finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
+    return F.coalesce(vector.isNotNull() & finite, F.lit(False))
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -157,8 +179,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
 
     Components are quantised to floor(scale * x). ``queries`` says which rows
     are queries; candidates are all rows of other keys, ties go to the smaller
-    key. Vectors that are null, empty, or hold null or non-finite components,
-    and rows with a null key, take no part. Shorter vectors count as padded with zeros. Rows that repeat a key are
+    key. Vectors that are null or hold null or non-finite components,
+    and rows with a null key, take no part. Shorter vectors count as padded with zeros, empty ones as all zeros.
+    Very long vectors make an index of as many slices a component. Other columns aren't read. Rows that repeat a key are
     candidates each; as queries, the first of their vectors in order stands. With fewer candidates than k, all are
     returned; an empty table gives no rows. Scores are 64-bit integers.
     """
@@ -168,11 +191,11 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
         F.col(key).cast("long").alias("k"), quantised.alias("v"), F.coalesce(queries, F.lit(False)).alias("q")
     )
     facts = rows.agg(F.count(F.lit(1)), F.sum(F.col("q").cast("long")), F.max(F.size("v"))).first()
-    total, asked, dims = facts[0], facts[1] or 0, facts[2] or 1
+    total, asked, dims = facts[0], facts[1] or 0, max(facts[2] or 1, 1)
     out_key = "k" if key in ("query_id", "rank", "score") else key
     if not asked:
         return spark.createDataFrame([], f"query_id long, rank int, `{out_key}` long, score long")
-    blocks = -(-total // BLOCK_ROWS)
+    blocks = max(-(-total // BLOCK_ROWS), min(shuffle_width(spark), total // (BLOCK_ROWS // 4)))
     query_blocks = -(-asked // BLOCK_QUERIES)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -193,31 +216,44 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
 
         return rows_.select("k", "v").mapInArrow(lean(work), "g long, b binary")
 
-    asked_rows = rows.where("q").groupBy("k").agg(F.min("v").alias("v"))
-    work = Workspace(spark, "bitslices")
-    questions = work.save(deal(asked_rows, query_blocks).select(F.col("g").alias("qb"), "b"), "queries")
-    index = work.save(deal(rows, blocks).select(F.col("g").alias("cb"), "b"), "index")
-    # Every block of queries meets every block of the index: the set asked for against all rows.
-    left = questions.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-
     def join(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = [_blobs.unpack(b) for b in blobs]
         ids = np.concatenate([p[0] for p in parts])
         return ids, np.concatenate([p[1].astype(np.int64) for p in parts]).reshape(len(ids), dims)
 
+    def build(table: pa.Table) -> pa.Table:
+        block = SliceBlock(*join(table.column("b").to_pylist()))
+        return pa.table({"cb": table.column("cb")[:1], "s": pa.array([block.to_bytes()], pa.binary())})
+
+    asked_rows = rows.where("q").groupBy("k").agg(F.min("v").alias("v"))
+    work = Workspace(spark, "bitslices")
+    # The slices are built and stored once for each block; queries travel in packs.
+    index = work.save(deal(rows, blocks).select(F.col("g").alias("cb"), "b").groupBy("cb").applyInArrow(lean_group(build), "cb long, s binary"), "index")
+    packs = -(-asked // PACK)
+    questions = work.save(deal(asked_rows, packs).select((F.col("g") % query_blocks).alias("qb"), "b"), "queries")
+    # Every query meets every block of the index: the set asked for against all rows. Up to BLOCK_QUERIES
+    # of them stream past a block together, so the index travels once for each so many queries.
+    left = questions.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+
     def meet(asks: pa.Table, held: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], []]
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(asks) and len(held):
-            block = SliceBlock(*join(held.column("b").to_pylist()))
+            block, cb = SliceBlock.from_bytes(held.column("s")[0].as_py()), held.column("cb")[0].as_py()
             for q, v in zip(*join(asks.column("b").to_pylist()), strict=True):
                 ids, scores = block.top(v, k, int(q))
-                columns[0] += [int(q)] * len(ids)
-                columns[1] += ids.tolist()
-                columns[2] += scores.tolist()
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "k", "score"), columns, strict=True)})
+                made.append((np.full(len(ids), q), ids, scores))
+            columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+            return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "k", "score"), columns, strict=True)}, "part": pa.array(np.full(len(columns[0]), cb), pa.int64())})
+        return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "k", "score", "part")})
 
-    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(lean_cogroup(meet), "query_id long, k long, score long")
+    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(lean_cogroup(meet), "query_id long, k long, score long, part long")
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("k").alias("k")))), 1, k)
+    parts = blocks
+    while parts > 1:
+        # Lists of many blocks are merged some at a time, so that none grows with the table.
+        parts = -(-parts // MERGED)
+        best = best.groupBy("query_id", F.floor(F.col("part") / MERGED).alias("part")).agg(top.alias("t")).select("query_id", "part", F.explode("t").alias("t"))
+        best = best.select("query_id", F.col("t.k").alias("k"), (-F.col("t.s")).alias("score"), "part")
     merged = best.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "t"))
     return merged.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.k").alias(out_key), (-F.col("t.s")).alias("score"))

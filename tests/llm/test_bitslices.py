@@ -24,14 +24,26 @@ def test_block_is_exact(skip, n, scale):
     assert list(zip(*[x.tolist() for x in block.top(np.zeros(9, np.int64), 5, -1)], strict=True)) == brute(ids, rows, np.zeros(9, np.int64), -1, 5)
 
 
+def test_blocks_are_stored_and_read():
+    rng = np.random.default_rng(7)
+    for n, scale in ((1, 5), (130, 400), (70, 10**6)):
+        rows, ids = rng.normal(0, scale, (n, 5)).astype(np.int64), rng.permutation(n)
+        block = bitslices.SliceBlock(ids, rows)
+        back = bitslices.SliceBlock.from_bytes(block.to_bytes())
+        assert (back.stack == block.stack).all() and (back.rows == block.rows).all()
+        assert [x.tolist() for x in back.top(rows[0], 3, 0)] == [x.tolist() for x in block.top(rows[0], 3, 0)]
+
+
 def test_table_with_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(bitslices, "BLOCK_ROWS", 40)
     monkeypatch.setattr(bitslices, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(bitslices, "PACK", 2)
+    monkeypatch.setattr(bitslices, "MERGED", 2)
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(0, 0.1, 6)], "x") for i in range(150)]
     data += [(150 + i, [0.1] * 6, "same") for i in range(60)]
-    odd = [(300, None, ""), (301, [], ""), (302, [float("nan")] * 6, ""), (303, [0.1, None], ""), (304, [float("inf")] * 6, ""), (None, [0.1] * 6, "")]
-    short = [(305, [0.5, -0.25], "")]
+    odd = [(300, None, ""), (302, [float("nan")] * 6, ""), (303, [0.1, None], ""), (304, [float("inf")] * 6, ""), (None, [0.1] * 6, "")]
+    short = [(305, [0.5, -0.25], ""), (301, [], "")]
     df = spark.createDataFrame([*data, *odd, *short], "vec_id long, embedding array<float>, score string")
     got = {}
     for r in bitslices.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
