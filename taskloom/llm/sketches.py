@@ -24,6 +24,8 @@ from taskloom.llm._memory import lean
 from taskloom.llm._store import shuffle_width
 
 K, SHINGLE = 128, 5
+#: Bytes of text of a range of keys, and ranges at most: a range is read as a stream, so its size is no matter of memory.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 14
 
 
 def bottom_k(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -152,14 +154,21 @@ def with_next(df: DataFrame, key: str, text: str, work, schema: T.StructType) ->
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    parts = max(2, 2 * shuffle_width(spark))
+    bytes_ = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = min(MOST_RANGES, max(2, 2 * shuffle_width(spark), -(-bytes_ // RANGE_BYTES)))
     cuts = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (8 * parts))))
+    # The greatest keys have the first range. A row is told the stretch of cuts that it falls into first, then the cut there.
+    coarse = max(1, int(len(cuts) ** 0.5))
+    stretches = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)]
     number = F.lit(0)
     if cuts:
-        number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("__k").cast("double")))
+        at = F.col("__k").cast("double")
+        below = F.size(F.filter(F.array(*[F.lit(c[0]) for c in stretches]), lambda c: c <= at))
+        inner = F.size(F.filter(F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in stretches]), F.greatest(below, F.lit(1))), lambda c: c <= at))
+        number = F.lit(len(cuts)) - F.when(below == 0, F.lit(0)).otherwise((below - 1) * coarse + inner)
     rows = rows.withColumn("__r", F.when(F.col("__k").isNull(), F.lit(len(cuts) + 1)).otherwise(number).cast("int"))
     # A range begins with its greatest key; where that repeats, the reader takes the first of its rows.
-    heads = rows.groupBy("__r").agg(F.max("__k").alias("__k")).orderBy("__r").collect()
+    heads = sorted(rows.select("__r", "__k").groupBy("__r").agg(F.max("__k").alias("__k")).collect(), key=lambda h: h["__r"])
     if not heads:
         return spark.createDataFrame([], schema)
     guest_of = {h["__r"]: heads[i - 1]["__r"] for i, h in enumerate(heads)}
@@ -175,7 +184,7 @@ def with_next(df: DataFrame, key: str, text: str, work, schema: T.StructType) ->
     guest = F.struct(to.alias("r"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("__at", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
     dealt = dealt.select(F.col("__at.r").alias("__r"), F.col("__at.guest").alias("__g"), "__k", "__t")
-    ordered = dealt.repartition(parts, "__r").sortWithinPartitions(
+    ordered = dealt.repartitionById(len(cuts) + 2, F.col("__r")).sortWithinPartitions(
         "__r", "__g", F.col("__k").desc_nulls_last(), F.col("__t")
     )
 
@@ -212,7 +221,10 @@ def compare_edits(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """Fingerprints of each text and of its edited text, and their likeness.
 
     (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next). Null texts count as empty; a single row follows itself.
+    near_next). Null and empty texts have the empty fingerprint "" and are alike with one
+    another; a single row follows itself. Very long texts are read whole. Rows that
+    repeat a key are rows of their own, and those that tie are put in the
+    order of their texts; rows with a null key come last. Other columns aren't read, whatever their names. An empty table stays empty.
     """
     schema = T.StructType(
         [
