@@ -208,8 +208,8 @@ def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     _, first, which = np.unique(_hashes(raw, starts, ends), return_index=True, return_inverse=True)
     model = first[which]
     same = size == size[model]
-    # Among spans of one size, the hash of up to eight bytes has them all; longer ones are compared by eights.
-    long = np.flatnonzero(same & (size > 8))
+    # By eight bytes at a time.
+    long = np.flatnonzero(same)
     if len(long):
         padded = np.zeros(len(raw) + 8, np.uint8)
         padded[: len(raw)] = raw

@@ -10,6 +10,7 @@ stretches without a pair leave. Rounds go on until none remains.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -41,11 +42,12 @@ class PieceModel:
         self.size = n = sp.vocab_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        if any(sp.is_unused(i) for i in range(n)) or not all(f"<0x{b:02X}>" in set(pieces) for b in range(256)):
+        number = {p: i for i, p in enumerate(pieces)}
+        if any(sp.is_unused(i) for i in range(n)) or not all(f"<0x{b:02X}>" in number for b in range(256)):
             raise ValueError("models with unused pieces or without byte fallback aren't supported")
         if any(_SPACE in pieces[i].lstrip(_SPACE) for i in plain):
             raise ValueError("pieces that reach over a space aren't supported")
-        self.byte_ids = [pieces.index(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_ids = [number[f"<0x{b:02X}>"] for b in range(256)]
         ids = {pieces[i]: i for i in plain}
         #: Symbols: ids, then characters of pieces that are no pieces, then self.base + code point.
         symbols = dict(ids)
@@ -169,7 +171,7 @@ class PieceModel:
         begins[edges[:-1]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(raw))
-        _, first, which = np.unique(_words._hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        first, which = _words.distinct(raw, starts, ends)
         a, length = starts[first], (ends - starts)[first]
         flat = raw[np.repeat(a - (np.cumsum(length) - length), length) + np.arange(length.sum())]
         points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -282,12 +284,19 @@ class _Table:
         return self.raw[at], edges
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(model: bytes) -> PieceModel:
+    """The tables of a model's file; a worker builds them once, whatever its number of tasks."""
+    return PieceModel(model)
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str | None = None, digests: bool = False) -> DataFrame:
     """Adds the piece ids of each text and, if named, the text decoded from them.
 
     With ``digests`` the added columns are ``n_tokens``, ``ids_sha256`` (of the
     decimal ids joined by commas) and ``decoded_sha256`` instead. Null and
-    empty texts have no ids and decode to the empty text. Columns named as an
+    empty texts have no ids and decode to the empty text; very long ones are encoded whole, part by part. Rows that repeat get
+    the same ids each; pairs of pieces that tie in rank merge from the left, as in the library. An empty table stays empty. Columns named as an
     added one are replaced; all others are kept as they are.
     """
     fields = {
@@ -300,7 +309,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", de
     source = df.select(*kept) if text in kept else df.select(*kept, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = PieceModel(model)
+        tables = loaded(model)
         for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             rows = batch.num_rows
             counts = np.zeros(rows, np.int64)

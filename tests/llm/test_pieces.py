@@ -1,6 +1,7 @@
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,3 +65,17 @@ def test_tables(spark, both, monkeypatch, group):
         want = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
         assert [r.n_tokens, r.ids_sha256, r.decoded_sha256] == [len(ids), *want]
     assert pieces.encode(df.limit(0), PROTO).count() == 0
+
+
+def test_stretches_are_told_by_their_bytes(both, monkeypatch):
+    """Also where all hashes are one."""
+    from taskloom.llm import _words
+
+    own, library = both
+    monkeypatch.setattr(_words, "_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    for t in ("the cat and the hat", "a bb ccc " * 20, "longer words than eight letters longer words than eight numbers"):
+        assert own.encode(t) == library.encode(t)
+
+
+def test_tables_are_built_once():
+    assert pieces.loaded(PROTO) is pieces.loaded(bytes(bytearray(PROTO)))
