@@ -35,6 +35,8 @@ _RUNS = (1, 2, 4, 8)
 class Settings:
     #: Labelled rows that the model is fitted on at most.
     rows: int = 8000
+    #: Features of a row that the fit looks at, at most; of a row with more, those with the least hashes. Scores look at all.
+    row_features: int = 8192
     smoothing: float = 1.0
     cost: float = 1.0
     epochs: int = 20
@@ -80,6 +82,13 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate((np.array([_ALWAYS, *runs], np.int32), word[a:b], pair[a : max(a, b - 1)], ending[a:b], short[a:b])))
 
 
+def _least(found: np.ndarray, most: int) -> np.ndarray:
+    if len(found) <= most:
+        return found
+    hashes = _words.mix(found.astype(np.uint64) + np.uint64(1))
+    return np.sort(found[np.argpartition(hashes, most)[:most]])
+
+
 def _ratios(rows: list[np.ndarray], labels: np.ndarray, smoothing: float) -> np.ndarray:
     """Class log-count ratio of each feature; 0 for features that no row has."""
     counts = []
@@ -170,13 +179,14 @@ def train(df: DataFrame, labelled: DataFrame, label: str, settings: Settings, ke
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [f.tobytes() for f in features(b.column("t"))]
+            made = [_least(f, settings.row_features).tobytes() for f in features(b.column("t"))]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(made, pa.binary())], names=["h", "y", "f"])
 
     # The sample's bound makes it fit for a broadcast, whatever the tables' sizes.
     rows = df.select(key, text).join(F.broadcast(sample), key).select(F.xxhash64(key).alias("h"), F.col("__y").alias("y"), F.col(text).alias("t"))
-    found = rows.mapInArrow(lean(work), "h long, y int, f binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
-    found = found.slice(0, settings.rows)
+    # A key that repeats among the documents counts once, so no more rows come back than were sampled.
+    made = rows.mapInArrow(lean(work), "h long, y int, f binary").groupBy("h", "y").agg(F.min("f").alias("f"))
+    found = made.toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).slice(0, settings.rows)
     return fit([np.frombuffer(f, np.int32) for f in found.column("f").to_pylist()], found.column("y").to_numpy().astype(np.int64), settings)
 
 
@@ -198,9 +208,17 @@ def score(df: DataFrame, model: Model, out: str = "score", text: str = "text") -
     return source.mapInArrow(lean(work), schema)
 
 
-def classify(df: DataFrame, labelled: DataFrame, learn: Column, label: str = "quality", settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``score`` and ``predicted`` (1 from the threshold on), learning from the labelled rows where ``learn`` holds."""
+def classify(
+    df: DataFrame, labelled: DataFrame, learn: Column, label: str = "quality", settings: Settings | None = None, key: str = "doc_id", text: str = "text", names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """Adds ``score`` and ``predicted`` (1 from the threshold on), or what ``names`` calls them, learning from the labelled rows where ``learn`` holds.
+
+    Null and empty texts get the score of a text without words; very long ones are
+    scored whole. Rows that repeat or tie have equal scores; a key that repeats, among documents or labels, is learned once
+    for each label. Null keys aren't learned from. Columns named as an added one are replaced, all others kept. An empty
+    table stays empty; without labels of both classes all scores are alike.
+    """
     settings = settings or Settings()
     model = train(df, labelled.where(learn), label, settings, key, text)
-    scored = score(df.drop("predicted"), model, text=text)
-    return scored.withColumn("predicted", (F.col("score") >= settings.threshold).cast("int"))
+    scored = score(df.drop(names[1]), model, names[0], text)
+    return scored.withColumn(names[1], (F.col(names[0]) >= settings.threshold).cast("int"))

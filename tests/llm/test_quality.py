@@ -61,3 +61,52 @@ def test_features_are_distinct():
     found = list(quality.features(pa.array(["a b a b", None, "a a a a"])))
     assert all(len(set(f.tolist())) == len(f) for f in found) and found[1].tolist() == [0]
     assert {1, 2} <= set(found[2].tolist()) and 1 not in found[0].tolist()
+
+
+def test_query_against_brute_force(spark):
+    """Sample, features, ratios, margins and scores one by one, for every document of a table with odd rows."""
+    rows, labels = made(160)
+    rows += [(500, None, None, None, None), (501, "", None, None, None), (None, "w1 w2", None, None, None), (3, "another w5", None, None, None)]
+    labels += [(500, 0), (None, 1), (3, 1)]
+    settings = quality.Settings(rows=70)
+    df, marks = corpus.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    learn = F.col("doc_id") % 5 != 0
+    got = {(r.doc_id, r.text): (r.score, r.predicted) for r in quality.classify(df, marks, learn, settings=settings).collect()}
+    order = {r.k: r.h for r in spark.createDataFrame([(i,) for i, *_ in rows if i is not None], "k long").select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    sample = sorted({(order[i], i, y) for i, y in labels if i is not None and i % 5})[:70]
+
+    def own(text):
+        return next(iter(quality.features(pa.array([text], pa.string()))))
+
+    fit_on = []
+    for h, i, y in sample:
+        fit_on.append((h, y, min((own(t) for k, t, *_ in rows if k == i), key=lambda f: f.tobytes())))
+    fit_on.sort(key=lambda r: r[:2])
+    model = quality.fit([f for *_, f in fit_on], np.array([y for _, y, _ in fit_on]), settings)
+    ratio = {}
+    for f in range(quality.SIZE):
+        if model.square[f]:
+            ratio[f] = model.weight[f], model.square[f]
+    for i, t, *_ in rows:
+        num = sum(ratio.get(f, (0, 0))[0] for f in own(t).tolist())
+        den = sum(ratio.get(f, (0, 0))[1] for f in own(t).tolist())
+        score = 1 / (1 + np.exp(-(model.slope * num / np.sqrt(den + 1e-12) + model.offset)))
+        assert got[i, t][0] == np.float64(score).item() or abs(got[i, t][0] - score) < 1e-9
+        assert got[i, t][1] == int(got[i, t][0] >= 0.3)
+    # Ratios by plain counts.
+    counts = {y: {} for y in (0, 1)}
+    for _, y, f in fit_on:
+        for x in f.tolist():
+            counts[y][x] = counts[y].get(x, 0) + 1
+    seen = set(counts[0]) | set(counts[1])
+    total = [sum(counts[y].get(x, 0) + 1 for x in seen) for y in (0, 1)]
+    for x in list(seen)[:200]:
+        if x:
+            want = np.log((counts[1].get(x, 0) + 1) / total[1]) - np.log((counts[0].get(x, 0) + 1) / total[0])
+            assert abs(np.sqrt(model.square[x]) - abs(want)) < 1e-9
+
+
+def test_rows_of_many_features_are_sampled_by_hash():
+    found = np.arange(20_000, dtype=np.int32)
+    some = quality._least(found, 500)
+    assert len(some) == 500 and some.max() > 15_000 and some.min() < 5000 and (np.diff(some) > 0).all()
