@@ -1,6 +1,7 @@
 """Each stage of the pipeline against what brute force says of its own input, and the SQL of the queries."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -65,10 +66,19 @@ def test_passages_are_cut(stages):
         assert len(corpus.words(r.text)) == total - gone and (gone or r.text == texts[r.doc_id]) and (not gone or r.n_chars == len(r.text))
 
 
-def test_mixture_drops_some(stages):
+def test_mixture_meets_its_targets(stages):
+    """Shares of words by every margin of the stage's own output, as near as a few documents allow; texts are as they were."""
     before, after, _ = stages["mixture"]
     texts = {r.doc_id: r.text for r in before}
     assert 0 < len(after) < len(before) and all(texts[r.doc_id] == r.text for r in after)
+    words = {r.doc_id: len(corpus.words(r.text)) for r in before}
+    have, got = Counter(), Counter()
+    for rows, out in ((before, have), (after, got)):
+        for r in rows:
+            out[r.source if r.source in corpus_pipeline.MIXTURE.targets["source"] else "*"] += words[r.doc_id]
+    for name, share in corpus_pipeline.MIXTURE.targets["source"].items():
+        # No nearer than half of the longest document.
+        assert abs(got[name] / sum(got.values()) - share) <= 0.02 + 0.5 * max(words.values()) / sum(got.values())
 
 
 def test_pieces_give_the_text_back(stages):
@@ -78,6 +88,36 @@ def test_pieces_give_the_text_back(stages):
     assert all(r.decoded == texts[r.doc_id].replace("▁", " ") and r.n_tokens == len(r.ids) for r in after)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_each_stage(spark, tmp_path, name):
+    """Nulls in every column, empty and long texts, ties, repeats, clashing names; and a table without rows."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = [*corpus.rows(3), (None, f"a {passage}", None, None, None), (700, f"b {passage} c", "en", "src0", 1), (701, f"d {passage} e", "en", "src0", 1), (701, f"d {passage} e", "en", "src0", 1), (702, None, None, None, None)]
+    docs = corpus.frame(spark, data)
+    for c in ("score", "predicted", "component_id", "n_words", "n_removed", "mix_weight", "topic", "ids", "k", "b"):
+        docs = docs.withColumn(c, F.lit("own"))
+    spark.createDataFrame([(i, i % 2) for i in range(0, 80, 3)] + [(None, 1), (700, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, str(tmp_path)).collect()
+    texts = {(r[0], r[1]) for r in data}
+    if name == "sentencepiece":
+        assert len(got) == len(data) and sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(r[0] for r in data if r[0] is not None)
+    else:
+        assert got[0].__fields__ == docs.columns and all(r.topic == r.k == r.score == r.n_words == "own" for r in got)
+        if name != "repeated_passages":
+            assert all((r.doc_id, r.text) in texts for r in got)
+    if name == "repeated_passages":
+        assert len(got) == len(data) and sorted(r.text for r in got if r.doc_id in (700, 701)) == [f"b {passage} c", "d e", "d e"]
+        assert [r.text for r in got if r.doc_id is None] == [f"a {passage}"] and all(r.n_chars == 3 for r in got if r.doc_id == 701)
+    if name == "near_duplicates":
+        want = {i for i, (_, c) in components([(r[0], r[1]) for r in data if r[0] is not None], 5, 80).items() if c == i}
+        assert {r.doc_id for r in got if r.doc_id is not None} == want and sum(r.doc_id is None for r in got) == 1
+    if name == "quality":
+        assert len({r.text for r in got if r.doc_id == 701}) <= 1
+    none = stage(spark, docs.limit(0), str(tmp_path))
+    assert none.count() == 0 and (name == "sentencepiece" or none.columns == docs.columns)
+
+
 def test_run_gives_the_last_stage_s_rows(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == {r.doc_id for r in stages["sentencepiece"][1]}
 
