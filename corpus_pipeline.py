@@ -8,11 +8,18 @@
 4. mixture: documents are sampled so that their words meet the target shares.
 5. sentencepiece: texts are encoded and decoded again.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, and columns that documents
+have besides, whatever their names. In every stage null and empty texts are
+documents without words: the classifier scores them as such, they are nobody's copy,
+nothing is cut out of them, they weigh nothing in the mixture and are drawn like the others of
+their cell, and have no pieces. Very long texts are read whole. Rows with a null
+doc_id stay in stages 2 and 3 and share a draw in stage 4; rows that repeat a doc_id are one document there, which
+stays, goes and is cut as one. Of copies that tie the smallest doc_id stays. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import public_tokenizers
@@ -25,35 +32,39 @@ from taskloom.llm._store import Workspace
 #: Words of the shortest passage that is cut out as repeated.
 PASSAGE = 50
 #: The mixture of the registered query, but more of the words are kept.
-MIXTURE = mixing.Mixture(targets=queries.MIXTURE.targets, keep=0.8)
+MIXTURE = dataclasses.replace(queries.MIXTURE, keep=0.8, columns=("__weight", "__probability"))
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = quality.classify(docs, labels, queries.remainder("doc_id", 5) != 0)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.classify(docs, labels, queries.remainder("doc_id", 5) != 0, names=("__score", "__predicted"))
+    return scored.where("__predicted = 1").select(*columns(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = similar.jaccard_components(docs, size=5, percent=80)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*columns(docs))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.dedupe_substrings(docs, size=PASSAGE)
-    length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length).select(*docs.columns)
+    cut = suffixes.dedupe_substrings(docs, size=PASSAGE, names=("__n_words", "__n_removed"))
+    length = F.when(F.col("__n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("topic", queries.topic(F.col("text")))
-    return mixing.sample(rows, MIXTURE, mixing.word_count(F.col("text"))).select(*docs.columns)
+    kept = mixing.sample(docs, MIXTURE, mixing.word_count(F.col("text")), values={"topic": queries.topic(F.col("text"))})
+    return kept.select(*columns(docs))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(queries.PIECE_MODEL), "rb") as f:
         model = f.read()
-    made = pieces.encode(docs, model, ids="ids", decoded="decoded")
+    made = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, ids="ids", decoded="decoded")
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
