@@ -100,9 +100,10 @@ WITH bits AS (SELECT list(c ORDER BY n) AS t FROM (
   SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM range(256) AS x(n))),
 c AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
   xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
-    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)::BIGINT])), 4294967295::UBIGINT) AS crc FROM documents, bits),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id)) - 1 AS k, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM c),
-o AS (SELECT *, row_number() OVER (ORDER BY (2 * k + 1) / (2 * n)::DOUBLE, source, md5('17:' || doc_id)) - 1 AS pos FROM r)
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)::BIGINT])), 4294967295::UBIGINT) AS crc,
+  md5('17:' || md5(coalesce(text, ''))) AS g, md5('17:' || doc_id) AS d FROM documents, bits),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY g, d) - 1 AS k, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY (2 * k + 1) / (2 * n)::DOUBLE, source, d) - 1 AS pos FROM r)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law,
   CAST((pos * 8 + 7) // total AS INTEGER) AS shard, pos - ((pos * 8 + 7) // total) * total // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
 """

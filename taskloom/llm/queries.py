@@ -114,8 +114,9 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.md5(text).alias("text_md5"),
     )
-    placed = sharding.shard(thin, shards=8)
+    placed = sharding.shard(thin, shards=8, group="text_md5")
     return placed.select(
         "doc_id",
         "source",

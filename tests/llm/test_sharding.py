@@ -25,6 +25,24 @@ def test_shards_match_the_mixture(spark, monkeypatch, bucket):
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}
 
 
+@pytest.mark.parametrize("bucket", [7, 20_000])
+def test_groups_stay_together(spark, monkeypatch, bucket):
+    """Rows of a group are neighbours in their stratum, however large it is; counts and shares are met as without groups."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+    data = [(i, f"t{i % 40}" if i % 3 else "hot", "s" if i % 5 else "r") for i in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = sharding.shard(df, 4, group="text").collect()
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes.values()) == {300} and all(sorted(r.slot for r in got if r.shard == k) == list(range(300)) for k in sizes)
+    for k in sizes:
+        assert abs(sum(r.shard == k and r.source == "r" for r in got) - 60) < 2
+    # In a stratum at most one group for each cut lies on both sides of it.
+    for s in ("s", "r"):
+        spread = Counter(t for t, _ in {(r.text, r.shard) for r in got if r.source == s})
+        assert sum(n - 1 for n in spread.values()) <= 3
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df.coalesce(1), 4, group="text").collect()} == {r.doc_id: (r.shard, r.slot) for r in got}
+
+
 def test_ties_nulls_and_names(spark):
     data = [(None, "a", None), (None, "a", None), (1, "b", "s"), (1, "b", "s"), (1, "c", "s")]
     df = spark.createDataFrame(data, "doc_id long, slot string, source string")
@@ -44,5 +62,5 @@ def test_written_shards(spark, tmp_path):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = sharding.shard(corpus.frame(spark), 4)._jdf.queryExecution().executedPlan().toString()
+    plan = sharding.shard(corpus.frame(spark), 4, group="text")._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
