@@ -150,8 +150,8 @@ def _levels(scanned: DataFrame) -> np.ndarray:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap that has the slots of all keys, sixteen slots a key up to FILTER_SLOTS; what it lets through besides does no harm."""
-    slots = min(FILTER_SLOTS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+    """A bitmap that has the slots of all keys, a hundred slots a key up to FILTER_SLOTS; what it lets through besides does no harm."""
+    slots = min(FILTER_SLOTS, max(1 << 12, 1 << (64 * keys.count()).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +322,11 @@ def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size:
     return rows.mapInArrow(lean(emit), "g long, b binary").groupBy("g").applyInArrow(lean_group(shared), "t long, k long")
 
 
-def _candidates(meets: DataFrame, percent: int, width: int, whole: bool = False) -> DataFrame:
-    """(u, v): what joins the pairs of two components in rows (t, k, component, n, parity) that may link; with ``whole`` the pairs themselves."""
+def _candidates(meets: DataFrame, total: int, percent: int, width: int, whole: bool = False) -> DataFrame:
+    """(u, v): what joins the pairs of two components in ``total`` rows (t, c, k, component, n, parity) that may link; with ``whole`` the pairs themselves.
+
+    ``c``: how many rows the shingle t has.
+    """
 
     def folded(blobs: list[bytes], bits: np.ndarray, to: int) -> np.ndarray:
         """Bitmaps of ``to`` or twice as many bits, at ``to`` bits."""
@@ -370,13 +373,11 @@ def _candidates(meets: DataFrame, percent: int, width: int, whole: bool = False)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     # A shingle of many sets is cut into chunks, and pairs of chunks meet in tasks of their own.
-    many = meets.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    parts = F.ceil(F.col("c") / TASK_ROWS)
-    cut = meets.join(many.where(F.col("c") > TASK_ROWS).select("t", parts.alias("parts")), "t", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = meets.withColumn("parts", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("c") / TASK_ROWS)))
     own = F.pmod(F.xxhash64("k"), F.col("parts"))
     blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.xxhash64("t", F.least(own, j), F.greatest(own, j)))
     rows = cut.withColumn("block", F.explode(F.when(F.col("parts") == 1, F.array(F.xxhash64("t"))).otherwise(blocks)))
-    tasks = max(4 * width, -(-meets.count() // CANDIDATE_ROWS))
+    tasks = max(4 * width, -(-total // CANDIDATE_ROWS))
     dealt = rows.withColumn("g", F.pmod("block", F.lit(tasks))).select("g", F.col("block").alias("t"), "k", "component", "n", "parity")
     return dealt.groupBy("g").applyInArrow(lean_group(work), "u long, v long").distinct()
 
@@ -471,9 +472,12 @@ def links_within(sets: list[np.ndarray], percent: int, weights: np.ndarray, side
     return back
 
 
-def _link_counts(rows: DataFrame, reps: DataFrame, component: DataFrame, size: int, percent: int, width: int) -> DataFrame:
-    """(a, b, n, links): of each distinct set that has a partner, the documents with other sets that it links with, from (k, a, b, n, c) and (node, component)."""
-    own = reps.select("k", "a", "b", "n", "c").join(component.withColumnRenamed("node", "k"), "k")
+def _link_counts(rows: DataFrame, reps: DataFrame, copies: DataFrame, component: DataFrame, size: int, percent: int, width: int) -> DataFrame:
+    """(a, b, n, links): of each distinct set that has a partner, the documents with other sets that it links with.
+
+    From sets (k, a, b, n), the documents that have them (a, b, n, c), and (node, component).
+    """
+    own = reps.select("k", "a", "b", "n").join(component.withColumnRenamed("node", "k"), "k").join(copies, ["a", "b", "n"])
     totals = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cn")).where("m > 1").drop("m")
     placed = own.join(totals, "component").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("cn") / (BLOCK_BYTES // 8)))).withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
     keep = _passes(_filter(placed.select("k")))
@@ -483,10 +487,13 @@ def _link_counts(rows: DataFrame, reps: DataFrame, component: DataFrame, size: i
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least("chunk", j).alias("x"), F.greatest("chunk", j).alias("y")))
     dealt = placed.select("k", "a", "b", "n", "c", "component", "chunk", F.explode(pairs).alias("p"))
     dealt = dealt.select("k", "a", "b", "n", "c", F.xxhash64("component", "p.x", "p.y").alias("block"), (F.col("chunk") == F.col("p.y")).alias("side"), (F.col("p.x") != F.col("p.y")).alias("cross"))
-    met = _whole_sets(rows, size, keep).join(dealt, ["k", "a", "b", "n"]).dropDuplicates(["a", "b", "n", "block"])
+    met = _whole_sets(rows, size, keep).join(dealt, ["k", "a", "b", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
+        # Rows that repeat bring a set twice.
+        table = table.sort_by([(x, "ascending") for x in ("block", "a", "b", "n")])
+        key = np.stack([table.column(x).to_numpy() for x in ("block", "a", "b", "n")], axis=1)
+        table = table.filter(pa.array(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))[: len(key)]))
         block = table.column("block").to_numpy()
         edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
         links = np.zeros(len(block), np.int64)
@@ -506,9 +513,7 @@ def _distinct_sets(rows: DataFrame, size: int, work: Workspace) -> tuple[DataFra
     scanned = work.save(_scan(rows, size), "scan")
     thin = scanned.where("kind = 0").select("k", "n", "a", "b", "m1", "m2", "parity")
     usable = thin.where("k is not null and n > 0")
-    # Rows of one key and one set are one document; partial counts keep a set that very many have from meeting in one task.
-    once = usable.groupBy("a", "b", "n", "k").agg(*[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
-    reps = once.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
+    reps = usable.groupBy("a", "b", "n").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("m1", "m2", "parity")])
     return scanned, thin, usable, work.save(reps, "sets")
 
 
@@ -535,8 +540,10 @@ def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     numbered = work.save(reps.select("k", "n", "a", "b", "parity", F.xxhash64("a", "b", "n").alias("set")), "numbered")
     shared = _shared_prefixes(rows, reps, _levels(scanned), size, percent, width)
     shared = work.save(shared, "shared")
-    meets = shared.join(numbered, "k").select("t", F.col("set").alias("k"), F.col("set").alias("component"), "n", "parity")
-    pairs = work.save(_candidates(meets, percent, width, whole=True), "pairs")
+    numbers = shared.join(numbered.select("k", "set"), "k").groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    meets = shared.join(numbered, "k").join(numbers, "t").select("t", "c", F.col("set").alias("k"), F.col("set").alias("component"), "n", "parity")
+    total = numbers.agg(F.sum("c")).first()[0] or 0
+    pairs = work.save(_candidates(meets, total, percent, width, whole=True), "pairs")
     work.release()
     keep = _passes(_filter(reps.select("k")))
 
@@ -602,9 +609,11 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     labels = components(links, work, "first")
     known = shared.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "k", F.coalesce("component", "k").alias("component"))
     known = work.save(known, "known")
-    open_ = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    meets = known.join(open_.select("t"), "t").join(reps.select("k", "n", "parity"), "k")
-    pairs = work.save(_candidates(meets, percent, width), "pairs")
+    open_ = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").select("t", "c")
+    total = open_.agg(F.sum("c")).first()[0] or 0
+    meets = known.join(open_, "t").join(reps.select("k", "n", "parity"), "k")
+    pairs = work.save(_candidates(meets, total, percent, width), "pairs")
+    work.release()
     if pairs.limit(1).count():
         families = components(pairs, work, "families").withColumnsRenamed({"node": "k", "component": "family"})
         members = families.join(labels.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("component"), "family")
@@ -617,8 +626,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     columns = [F.col("k").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id")]
     out = thin.select("k", "a", "b", "n").join(labels.withColumnRenamed("node", "k"), "k", "left")
     if counts:
-        linked = _link_counts(rows, reps, labels, size, percent, width)
-        linked = work.save(reps.select("a", "b", "n", "c").join(linked, ["a", "b", "n"], "left").select("a", "b", "n", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
+        # Rows of one key and one set are one document.
+        copies = work.save(usable.select("a", "b", "n", "k").distinct().groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c")), "copies")
+        linked = _link_counts(rows, reps, copies, labels, size, percent, width)
+        linked = work.save(copies.join(linked, ["a", "b", "n"], "left").select("a", "b", "n", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
         work.release()
         out = out.join(linked, ["a", "b", "n"], "left")
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
