@@ -13,7 +13,8 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
 
     Each round takes the least label among a node and its neighbours and then
     the label's own label, so chains halve. Rounds are written to the shared
-    folder; labels fall until none changes.
+    folder; labels fall until none changes. A label that very many nodes have is
+    a hot key of the joins, which adaptive execution splits: the other side has one row for it.
     """
     both = links.select("u", "v").where("u <> v").distinct()
     both = work.save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-links")

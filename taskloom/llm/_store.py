@@ -59,10 +59,10 @@ class Workspace:
         go of them first; Spark's setting that cleans up as a
         query ends leaves out queries that write a table.
         """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+        gc.collect()
+        self.spark._jvm.System.gc()
+        time.sleep(0.1)
+        self.spark._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""

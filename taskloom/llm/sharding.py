@@ -29,7 +29,10 @@ _DIGITS = 7
 
 
 def _prefix_ranks(df: DataFrame, strata: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
-    """``out``: a row's 0-based rank within ``strata`` by bucket, then by order; ``out``_of: the stratum's rows."""
+    """``out``: a row's 0-based rank within ``strata`` by bucket, then by order; ``out``_of: the stratum's rows.
+
+    Buckets of a stratum are added up by one task, which has a row for each: one for BUCKET_ROWS rows of the table.
+    """
     keys = [*strata, bucket]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sh_n"))
     whole = Window.partitionBy(*strata)
