@@ -149,9 +149,12 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     return np.clip(np.log2((counts + 1) / (2 * counts.mean() + 2)), 0, 15).astype(np.uint8)
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap that has the slots of all keys, a hundred slots a key up to FILTER_SLOTS; what it lets through besides does no harm."""
-    slots = min(FILTER_SLOTS, max(1 << 12, 1 << (64 * keys.count()).bit_length()))
+def _filter(keys: DataFrame, most: int) -> np.ndarray:
+    """A bitmap that has the slots of all keys, of which there are ``most`` at most; what it lets through besides does no harm.
+
+    It has 32 slots or more for each of them, up to FILTER_SLOTS.
+    """
+    slots = min(FILTER_SLOTS, max(1 << 12, 1 << (32 * most).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,11 +235,12 @@ def _parts_of(table: tuple[np.ndarray, np.ndarray], m: int) -> int:
     return int(table[1][at]) if at < len(table[0]) and table[0][at] == m else 1
 
 
-def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width: int) -> DataFrame | None:
+def _near_links(rows: DataFrame, reps: DataFrame, many: int, size: int, percent: int, width: int, work: Workspace) -> DataFrame | None:
     """Step 2: links between distinct sets that share a min-hash."""
     both = reps.select("k", "n", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("m")) for j in (1, 2)])).alias("x"))
     both = both.select("k", "n", "x.j", "x.m")
     blocks = both.groupBy("j", "m").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
+    blocks = work.save(blocks, "blocks")
     sums = blocks.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not sums[1]:
         return None
@@ -247,7 +251,7 @@ def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width
     split = {j: _split_table(found.filter(pc.equal(found.column("j"), j))) for j in (1, 2)}
     tasks = max(width, -(-bytes_ // TASK_BYTES))
     live = both.join(blocks.select("j", "m"), ["j", "m"], "left_semi").select("k").distinct()
-    keep = _passes(_filter(live))
+    keep = _passes(_filter(live, many))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -268,9 +272,9 @@ def _near_links(rows: DataFrame, reps: DataFrame, size: int, percent: int, width
     return _block_links(rows.mapInArrow(lean(emit), "g long, b binary"), percent)
 
 
-def _shared_prefixes(rows: DataFrame, reps: DataFrame, levels: np.ndarray, size: int, percent: int, width: int) -> DataFrame:
+def _shared_prefixes(rows: DataFrame, reps: DataFrame, many: int, levels: np.ndarray, size: int, percent: int, width: int) -> DataFrame:
     """Step 3: (shingle, k) where two distinct sets have the shingle in their prefixes."""
-    keep = _passes(_filter(reps.select("k")))
+    keep = _passes(_filter(reps.select("k"), many))
     # A prefix holds (100 - percent) % of a set and one more.
     total = (reps.agg(F.sum("n") * (100 - percent) / 100 + 2 * F.count(F.lit(1))).first()[0]) or 0
     tasks = max(width, -(-int(total) // TASK_PREFIXES))
@@ -382,7 +386,7 @@ def _candidates(meets: DataFrame, total: int, percent: int, width: int, whole: b
     return dealt.groupBy("g").applyInArrow(lean_group(work), "u long, v long").distinct()
 
 
-def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: int, percent: int, width: int) -> DataFrame:
+def _family_links(rows: DataFrame, reps: DataFrame, many: int, members: DataFrame, size: int, percent: int, width: int) -> DataFrame:
     """Links between components of a family, from (k, component, family)."""
     sized = members.join(reps.select("k", "n"), "k")
     weights = sized.groupBy("family", "component").agg(F.sum("n").alias("cn"))
@@ -397,7 +401,7 @@ def _family_links(rows: DataFrame, reps: DataFrame, members: DataFrame, size: in
     placed = cell.select("k", "component", "n", F.explode(pairs).alias("block"))
     total = placed.agg(F.sum("n")).first()[0] or 0
     tasks = max(width, -(-8 * total // TASK_BYTES))
-    keep = _passes(_filter(members.select("k")))
+    keep = _passes(_filter(members.select("k"), many))
 
     found = _whole_sets(rows, size, keep).join(placed, "k").select("block", "k", "component", "s")
     return _block_links(found.mapInArrow(lean(_packer(tasks)), "g long, b binary"), percent)
@@ -472,7 +476,7 @@ def links_within(sets: list[np.ndarray], percent: int, weights: np.ndarray, side
     return back
 
 
-def _link_counts(rows: DataFrame, reps: DataFrame, copies: DataFrame, component: DataFrame, size: int, percent: int, width: int) -> DataFrame:
+def _link_counts(rows: DataFrame, reps: DataFrame, copies: DataFrame, component: DataFrame, many: int, size: int, percent: int, width: int, work: Workspace) -> DataFrame:
     """(a, b, n, links): of each distinct set that has a partner, the documents with other sets that it links with.
 
     From sets (k, a, b, n), the documents that have them (a, b, n, c), and (node, component).
@@ -480,7 +484,8 @@ def _link_counts(rows: DataFrame, reps: DataFrame, copies: DataFrame, component:
     own = reps.select("k", "a", "b", "n").join(component.withColumnRenamed("node", "k"), "k").join(copies, ["a", "b", "n"])
     totals = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cn")).where("m > 1").drop("m")
     placed = own.join(totals, "component").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("cn") / (BLOCK_BYTES // 8)))).withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
-    keep = _passes(_filter(placed.select("k")))
+    placed = work.save(placed, "placed")
+    keep = _passes(_filter(placed.select("k"), many))
     total = placed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
     tasks = max(width, -(-8 * total // TASK_BYTES))
     # Chunks of a component meet pairwise, and each pair of sets is counted where their chunks meet.
@@ -538,14 +543,15 @@ def jaccard_links(df: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     scanned, thin, usable, reps = _distinct_sets(rows, size, work)
     # A key may be the least of several sets, so sets meet under a number of their own.
     numbered = work.save(reps.select("k", "n", "a", "b", "parity", F.xxhash64("a", "b", "n").alias("set")), "numbered")
-    shared = _shared_prefixes(rows, reps, _levels(scanned), size, percent, width)
+    many = reps.count()
+    shared = _shared_prefixes(rows, reps, many, _levels(scanned), size, percent, width)
     shared = work.save(shared, "shared")
     numbers = shared.join(numbered.select("k", "set"), "k").groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     meets = shared.join(numbered, "k").join(numbers, "t").select("t", "c", F.col("set").alias("k"), F.col("set").alias("component"), "n", "parity")
     total = numbers.agg(F.sum("c")).first()[0] or 0
     pairs = work.save(_candidates(meets, total, percent, width, whole=True), "pairs")
     work.release()
-    keep = _passes(_filter(reps.select("k")))
+    keep = _passes(_filter(reps.select("k"), many))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -596,15 +602,15 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     work, width = Workspace(spark, "similar"), shuffle_width(spark)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     scanned, thin, usable, reps = _distinct_sets(rows, size, work)
-    levels = _levels(scanned)
+    levels, many = _levels(scanned), reps.count()
     equal = usable.join(reps.select("a", "b", "n", F.col("k").alias("u")), ["a", "b", "n"]).where("k <> u").select("u", F.col("k").alias("v"))
     links = work.save(equal, "equal")
-    near = _near_links(rows, reps, size, percent, width)
+    near = _near_links(rows, reps, many, size, percent, width, work)
     if near is not None:
         links = links.union(work.save(near, "near"))
         del near
         work.release()
-    shared = work.save(_shared_prefixes(rows, reps, levels, size, percent, width), "shared")
+    shared = work.save(_shared_prefixes(rows, reps, many, levels, size, percent, width), "shared")
     work.release()
     labels = components(links, work, "first")
     known = shared.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "k", F.coalesce("component", "k").alias("component"))
@@ -618,7 +624,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
         families = components(pairs, work, "families").withColumnsRenamed({"node": "k", "component": "family"})
         members = families.join(labels.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("component"), "family")
         members = work.save(members, "members")
-        more = work.save(_family_links(rows, reps, members, size, percent, width), "more")
+        more = work.save(_family_links(rows, reps, many, members, size, percent, width), "more")
         work.release()
         if more.limit(1).count():
             labels = components(links.union(more), work, "second")
@@ -628,7 +634,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, key: str
     if counts:
         # Rows of one key and one set are one document.
         copies = work.save(usable.select("a", "b", "n", "k").distinct().groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c")), "copies")
-        linked = _link_counts(rows, reps, copies, labels, size, percent, width)
+        linked = _link_counts(rows, reps, copies, labels, many, size, percent, width, work)
         linked = work.save(copies.join(linked, ["a", "b", "n"], "left").select("a", "b", "n", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
         work.release()
         out = out.join(linked, ["a", "b", "n"], "left")
