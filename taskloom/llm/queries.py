@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -37,11 +38,18 @@ TOPICS = {
 }
 
 
+#: What a text must hold somewhere for a topic's pattern to match: most texts are told by that alone.
+HINTS = {"table": (" | ",), "contact": ("@", "http")}
+
+
 def topic(text: F.Column) -> F.Column:
     """A document's topic, told from its whole text; null and empty texts are prose."""
     text, found = F.coalesce(text, F.lit("")), F.lit("prose")
     for name, pattern in reversed(TOPICS.items()):
-        found = F.when(F.regexp_like(text, F.lit(pattern)), F.lit(name)).otherwise(found)
+        matched = F.regexp_like(text, F.lit(pattern))
+        if name in HINTS:
+            matched = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS[name]]) & matched
+        found = F.when(matched, F.lit(name)).otherwise(found)
     return found
 
 
