@@ -272,7 +272,7 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in rows:
         store.put(f"{r.n_nationkey:08x}", r.n_nationkey, ttl=10 * r.n_regionkey if r.n_regionkey else None)
     now[0] += 25
-    found = [(r.n_nationkey, "expired" if (value := store.get(f"{r.n_nationkey:08x}")) is MISS else "hit", None if value is MISS else value) for r in rows]
+    found = [(r.n_nationkey, "expired" if (value := store.get(f"{r.n_nationkey:08x}")) is MISS else "hit", -1 if value is MISS else value) for r in rows]
     left = len(store.keys())
     return spark.createDataFrame([(*f, left) for f in found], "n_nationkey int, status string, value int, entries long")
 
@@ -337,7 +337,7 @@ def dataset_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file of bytes, read back as a binary file."""
     store = DatasetStore(scratch(spark))
     store.save("blob.bin", b"\x00\x01taskloom")
-    return spark.createDataFrame([(bytearray(store.load("blob.bin")),)], "content binary")
+    return spark.createDataFrame([(bytearray(store.load("blob.bin")),)], "content binary").select(F.hex("content").alias("content"))
 
 
 def dataset_key_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,7 +586,7 @@ ORACLES: dict[str, str] = {
     "cache_shards": "SELECT substr(sha256(CAST(s_suppkey AS VARCHAR)), 1, 2) AS shard, count(*) AS n FROM supplier GROUP BY 1",
     "cache_ttl": """
         WITH h AS (SELECT n_nationkey, n_regionkey = 0 OR 25 <= 10 * n_regionkey AS hit FROM nation)
-        SELECT n_nationkey, CASE WHEN hit THEN 'hit' ELSE 'expired' END AS status, CASE WHEN hit THEN n_nationkey END AS value, (SELECT count(*) FROM h WHERE hit) AS entries FROM h""",
+        SELECT n_nationkey, CASE WHEN hit THEN 'hit' ELSE 'expired' END AS status, CASE WHEN hit THEN n_nationkey ELSE -1 END AS value, (SELECT count(*) FROM h WHERE hit) AS entries FROM h""",
     "cache_hit": "SELECT o_orderstatus, count(*) AS n, 1 AS runs, 1 AS hits FROM orders GROUP BY 1",
     "dataset_parquet": "SELECT * FROM nation",
     "dataset_orc": "SELECT * FROM nation",
@@ -626,7 +626,7 @@ ORACLES: dict[str, str] = {
         WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS nation, n_regionkey FROM nation)
         SELECT nation, kind, unnest(range(n_regionkey)) AS item, (SELECT CAST(2 * sum(n_regionkey) AS BIGINT) FROM n) AS iterations FROM n, (VALUES ('sync'), ('async')) AS k(kind)""",
     "cache_replaced": "SELECT n_nationkey, CAST(1 AS BIGINT) AS tables FROM nation WHERE n_regionkey >= 2",
-    "dataset_raw": r"SELECT '\x00\x01taskloom'::BLOB AS content",
+    "dataset_raw": r"SELECT hex('\x00\x01taskloom'::BLOB) AS content",
     "dataset_values": """
         SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n_nationkey, row_number() OVER (ORDER BY n_nationkey) > 1 AS has_text, n_name AS raw, n_name AS pickled,
           len(list_distinct(string_split(n_name, ''))) AS letters, 3 * count(*) OVER () - 1 AS keys FROM nation""",
