@@ -23,9 +23,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def squeeze(blob: bytes) -> bytes:
+def squeeze(blob: bytes, level: int = 1) -> bytes:
     """Compressed harder than a shuffle does by itself; its size goes before it."""
-    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(blob, asbytes=True)
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", level).compress(blob, asbytes=True)
 
 
 def unsqueeze(blob: bytes) -> bytes:

@@ -280,10 +280,15 @@ def _spelled(plan: _Plan, groups: int, spans: _words.Spans, at: np.ndarray, doc:
     for g, a, b in parts:
         own = order[a:b]
         rows = number[at[own][:, None] + np.arange(size)]
-        local, rows = np.unique(rows, return_inverse=True)
+        local, rows, times = np.unique(rows, return_inverse=True, return_counts=True)
+        # Frequent words get small numbers, which compress better.
+        rank = np.argsort(-times, kind="stable")
+        number_of = np.empty(len(rank), np.int64)
+        number_of[rank] = np.arange(len(rank))
+        local, rows = local[rank], number_of[rows]
         words = spelling.take(pa.array(local))
         raw, edges = _words.buffers(words)
-        yield g, _blobs.squeeze(_blobs.pack(raw, _blobs.small(np.diff(edges)), _blobs.small(rows.ravel()), *_places(doc[own], position[own])))
+        yield g, _blobs.squeeze(_blobs.pack(raw, _blobs.small(np.diff(edges)), _blobs.small(rows.ravel()), *_places(doc[own], position[own])), 3)
 
 
 def _suffixes(shared: DataFrame, dealt: DataFrame, key: str, text: str, plan: _Plan, groups: int) -> DataFrame:
