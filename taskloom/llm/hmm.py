@@ -331,7 +331,7 @@ def _chunks(rows: DataFrame, frequent: Frequent) -> DataFrame:
             lengths = np.array([len(r[1]) for r in rows_], np.uint32)
             classes = np.concatenate([r[1] for r in rows_])
             words, which = np.unique(np.concatenate([r[2] for r in rows_]), return_inverse=True)
-            blob = _blobs.squeeze(_blobs.pack(keys, null, lengths, classes.astype(np.uint16), words, _blobs.small(which)))
+            blob = _blobs.squeeze(_blobs.pack(keys, null, lengths, classes.astype(np.uint16), words, _blobs.small(which)), 3)
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([kind]), pa.array([len(classes)]), pa.array([blob], pa.binary())], names=["g", "held", "n", "b"])
 
         for batch in batches:
@@ -577,7 +577,7 @@ def _emissions(words: DataFrame, model: Model, mass: np.ndarray, classes: np.nda
 
 
 def _answers(chunks: DataFrame, words: DataFrame, emissions: Emissions, tasks: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(chunk, packed words with their counts and emissions): what each chunk's words that aren't frequent are.
+    """(chunk, packed numbers of words with their counts and emissions): what each chunk's words that aren't frequent are.
 
     A word that more chunks ask for than one task should hold goes to several tasks, and chunks are dealt among them.
     """
@@ -592,7 +592,7 @@ def _answers(chunks: DataFrame, words: DataFrame, emissions: Emissions, tasks: i
                     at = np.minimum(np.searchsorted(hot[0], names), len(hot[0]) - 1)
                     salt = np.where(hot[0][at] == names, np.uint64(g) % hot[1][at], np.uint64(0))
                 order, parts = _blobs.by_bucket(_bucket(names, tasks, salt))
-                made = [(b, _blobs.pack(np.array([g]), names[order[x:y]])) for b, x, y in parts]
+                made = [(b, _blobs.pack(np.array([g]), names[order[x:y]], _blobs.small(order[x:y]))) for b, x, y in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["q", "b"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -617,11 +617,12 @@ def _answers(chunks: DataFrame, words: DataFrame, emissions: Emissions, tasks: i
             own = np.zeros((len(h), k), np.float32)
             own[has] = emissions.of_words(kind[has], c[has], np.frombuffer(b"".join(v.filter(pa.array(has)).to_pylist()), np.float32).reshape(-1, k).astype(np.float64))
             for blob in asked.column("b").to_pylist():
-                g, names = _blobs.unpack(blob)
+                g, names, number = _blobs.unpack(blob)
                 at = np.minimum(np.searchsorted(h, names), len(h) - 1)
-                at = at[h[at] == names]
+                hit = h[at] == names
+                at = at[hit]
                 if len(at):
-                    made.append((int(g[0]), _blobs.pack(h[at], _blobs.small(c[at]), has[at].astype(np.uint8), own[at][has[at]].ravel())))
+                    made.append((int(g[0]), _blobs.squeeze(_blobs.pack(number[hit], _blobs.small(c[at]), has[at].astype(np.uint8), own[at][has[at]].ravel()))))
         return pa.table({"g": pa.array([m[0] for m in made], pa.int64()), "b": pa.array([m[1] for m in made], pa.binary())})
 
     left = chunks.select("g", "b").mapInArrow(lean(ask), "q long, b binary").groupBy("q")
@@ -635,11 +636,11 @@ def _score(chunks: DataFrame, answers: DataFrame, emissions: Emissions, frequent
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("k", "held", "n", "known", "logs", "score")}
-        told = [_blobs.unpack(b) for b in found.column("b").to_pylist()]
-        h, c, has, own = (np.concatenate([t[i] for t in told]) if told else np.zeros(0, d) for i, d in enumerate((np.uint64, np.int64, np.uint8, np.float32)))
-        order = np.argsort(h)
-        place = np.where(has == 1, np.cumsum(has.astype(np.int64)) - 1, -1)[order]
-        h, c = h[order], c[order].astype(np.int64)
+        # Answers are by the words' numbers in the one chunk that a group has.
+        told = [_blobs.unpack(_blobs.unsqueeze(b)) for b in found.column("b").to_pylist()]
+        number, c, has, own = (np.concatenate([t[i] for t in told]) if told else np.zeros(0, d) for i, d in enumerate((np.int64, np.int64, np.uint8, np.float32)))
+        number, c = number.astype(np.int64), c.astype(np.int64)
+        place = np.where(has == 1, np.cumsum(has.astype(np.int64)) - 1, -1)
         table = np.concatenate((emissions.table(), own.reshape(-1, k).astype(np.float64)))
         log_count = np.log10(np.append(np.append(frequent.counts, np.zeros(END - len(frequent.counts))), ends) + 1.0)
         for blob, held in zip(rows.column("b").to_pylist(), rows.column("held").to_pylist(), strict=True):
@@ -647,10 +648,7 @@ def _score(chunks: DataFrame, answers: DataFrame, emissions: Emissions, frequent
             lengths = lengths.astype(np.int64)
             text = np.repeat(np.arange(len(lengths)), lengths)
             count, at = np.zeros(len(names), np.int64), np.full(len(names), -1)
-            if len(h):
-                i = np.minimum(np.searchsorted(h, names), len(h) - 1)
-                hit = h[i] == names
-                count[hit], at[hit] = c[i[hit]], place[i[hit]]
+            count[number], at[number] = c, place
             rare = np.flatnonzero((flat >= FREQUENT) & (flat < END))
             known = np.bincount(text[(flat < FREQUENT) | ((flat == END) & (ends > 0))], minlength=len(lengths)) + np.bincount(text[rare], count[which] > 0, len(lengths)).astype(np.int64)
             more = np.log10(count + 1.0)
