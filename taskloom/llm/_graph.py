@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm._store import Workspace
@@ -20,20 +20,22 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     both = work.save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-links")
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
     labels = work.save(labels, f"{name}-0")
-    k, moved = 0, 1
-    while moved:
+    k = 0
+    while True:
         # A node's own label travels with those of its neighbours, so one aggregation gives the least.
         near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v")
         near = near.select(F.col("u").alias("node"), "c", F.lit(None).cast("long").alias("was"))
         own = labels.select("node", F.col("component").alias("c"), F.col("component").alias("was"))
-        # Spark reuses the shuffle of this step for its two uses.
-        step = near.union(own).groupBy("node").agg(F.min("c").alias("to"), F.max("was").alias("was"))
+        step = work.save(near.union(own).groupBy("node").agg(F.min("c").alias("to"), F.max("was").alias("was")), f"{name}-step")
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         k += 1
-        watch = Observation()
-        following = step.join(jump, "to").select("node", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("was")).alias("moved"))
-        labels = work.save(following.observe(watch, F.sum(F.col("moved").cast("long")).alias("moved")).select("node", "component"), f"{name}-{k}")
-        moved = watch.get["moved"]
+        following = work.save(
+            step.join(jump, "to").select("node", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("was")).alias("moved")), f"{name}-{k}"
+        )
+        moved = following.where("moved").limit(1).count()
         work.drop(f"{name}-{k - 1}")
-    work.drop(f"{name}-links")
-    return labels
+        labels = following.select("node", "component")
+        if not moved:
+            work.drop(f"{name}-links")
+            work.drop(f"{name}-step")
+            return labels

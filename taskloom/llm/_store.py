@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taskloom.llm import _memory
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of this process.
@@ -36,6 +38,8 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        # What the driver's Python has freed goes back to the system.
+        _memory.release()
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         fs, path = self._fs(self.root)
@@ -59,10 +63,11 @@ class Workspace:
         go of them first; Spark's setting that cleans up as a
         query ends leaves out queries that write a table.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.1)
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
+        _memory.release()
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _words
-from taskloom.llm._memory import lean
+from taskloom.llm._memory import lean, release
 
 _BITS = 18
 SIZE = 1 << _BITS
@@ -187,7 +187,11 @@ def train(df: DataFrame, labelled: DataFrame, label: str, settings: Settings, ke
     # A key that repeats among the documents counts once, so no more rows come back than were sampled.
     made = rows.mapInArrow(lean(work), "h long, y int, f binary").groupBy("h", "y").agg(F.min("f").alias("f"))
     found = made.toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).slice(0, settings.rows)
-    return fit([np.frombuffer(f, np.int32) for f in found.column("f").to_pylist()], found.column("y").to_numpy().astype(np.int64), settings)
+    model = fit([np.frombuffer(f, np.int32) for f in found.column("f").to_pylist()], found.column("y").to_numpy().astype(np.int64), settings)
+    del found
+    # The fit's memory goes back to the system: the driver has little.
+    release()
+    return model
 
 
 def score(df: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
